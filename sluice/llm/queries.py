@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL, gathered from its modules."""
 
-from sluice.llm import decontaminate, language, minhash, mixture, repeats, warc
+from sluice.llm import decontaminate, language, minhash, mixture, repeats, warc, codes
 
-_MODULES = (decontaminate, language, minhash, mixture, repeats, warc)
+_MODULES = (decontaminate, language, minhash, mixture, repeats, warc, codes)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}

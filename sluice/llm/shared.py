@@ -31,8 +31,9 @@ def new_folder(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/sluice-{label}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.deleteOnExit(at)
+    return store.makeQualified(at).toString()
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

@@ -10,8 +10,8 @@ Equal payloads are written once. Of the pages with one payload that with the lar
 others are revisits that refer to it; with min_bytes above 0, smaller payloads are all responses. Digests are
 aggregated by themselves, with partial sums, so that one payload on a third of all pages is a single row a task.
 
-Writing tasks each put one file into the shared folder: first under a name of its own attempt, then renamed, so a
-task that is repeated replaces its file by an equal one. A file is closed when it holds FILE_BYTES.
+Writing tasks put files of about FILE_BYTES into the shared folder, named by attempt. The table of the files whose
+tasks were committed says which ones count, so a task that is repeated leaves no record twice.
 
 Defined cases. Null html is an empty payload. Rows that repeat a page_id and its payload get a record each; if the
 page is its payload's response, all of them are. A null page_id ranks below all others. A null url is written as
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import new_folder, table
+from sluice.llm.shared import new_folder, stored, table
 
 MAGIC = 0x184D2A5D
 SAMPLE_RECORDS, SAMPLE_BYTES, DICT_BYTES = 2000, 8 << 20, 112 << 10
@@ -128,32 +128,25 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = F
         store.create_dir(root, recursive=True)
         used = shared.value
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(used) if used else None)
-        done, out, records, size, temp = [], None, 0, 0, ""
-
-        def close() -> None:
-            nonlocal out
-            out.close()
-            name = f"part-{task.partitionId():05d}-{len(done):03d}.warc.zst"
-            store.move(temp, f"{root}/{name}")
-            done.append((name, records, size))
-            out = None
-
+        done, out, name, records, size = [], None, "", 0, 0
         for batch in batches:
             for page_id, url, body, to_id, to_url, revisit in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 if out is None:
-                    temp = f"{root}/.{task.partitionId()}-{task.taskAttemptId()}-{len(done)}"
-                    out, records = store.open_output_stream(temp), 0
+                    name = f"part-{task.partitionId():05d}-{len(done):03d}-{task.taskAttemptId()}.warc.zst"
+                    out, records = store.open_output_stream(f"{root}/{name}"), 0
                     size = out.write(struct.pack("<II", MAGIC, len(used)) + used)
-                frame = packer.compress(record(page_id, url, body, digest(body), to_id, to_url, revisit))
-                size += out.write(frame)
+                size += out.write(packer.compress(record(page_id, url, body, digest(body), to_id, to_url, revisit)))
                 records += 1
                 if size >= file_bytes:
-                    close()
+                    out.close()
+                    out = None
+                    done.append((name, records, size))
         if out is not None:
-            close()
-        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], ["name", "records", "bytes"])
+            out.close()
+            done.append((name, records, size))
+        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["name", "records", "bytes"])
 
-    return rows.mapInArrow(each, "name string, records long, bytes long")
+    return stored(rows.mapInArrow(each, "name string, records long, bytes long"), "warc-files")
 
 
 def frames(data: bytes) -> Iterator[bytes]:
@@ -186,36 +179,40 @@ def _number(uri: str | None) -> int | None:
     return None if tail == "none" else int(tail)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each record in the .warc.zst files of folder; payload is null for revisits."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
+def read(files: DataFrame, folder: str) -> DataFrame:
+    """A row for each record in the files that write() returned; payload is null for revisits."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pyarrow.fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for content in batch.column(0):
-                rows, held = [], 0
-                for data in frames(content.as_buffer().to_pybytes()):
-                    f, payload = parse(data)
-                    revisit = f["warc-type"] == "revisit"
-                    if not revisit and (digest(payload) != f["warc-payload-digest"].removeprefix("sha1:") or len(payload) != int(f["warc-payload-length"])):
-                        raise ValueError("a payload does not have its digest")
-                    rows.append({"page_id": _number(f["warc-record-id"]), "url": f["warc-target-uri"], "record_type": f["warc-type"], "payload_digest": f["warc-payload-digest"].removeprefix("sha1:"), "payload_length": int(f["warc-payload-length"]), "refers_to": _number(f.get("warc-refers-to")), "payload": None if revisit else payload})
-                    held += len(payload)
-                    if held > 1 << 24:
-                        yield pa.RecordBatch.from_pylist(rows, schema=kind)
-                        rows, held = [], 0
-                yield pa.RecordBatch.from_pylist(rows, schema=kind)
+            for name in batch.column(0).to_pylist():
+                with store.open_input_file(f"{root}/{name}") as f:
+                    yield from _records(f.read())
+
+    return files.select("name").repartition(max(1, files.count())).mapInArrow(each, _READ)
+
 
+def _records(content: bytes) -> Iterator[pa.RecordBatch]:
     kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_length", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
-    return files.mapInArrow(each, _READ)
+    rows, held = [], 0
+    for data in frames(content):
+        f, payload = parse(data)
+        revisit = f["warc-type"] == "revisit"
+        named = f["warc-payload-digest"].removeprefix("sha1:")
+        if not revisit and (digest(payload) != named or len(payload) != int(f["warc-payload-length"])):
+            raise ValueError("a payload does not have its digest")
+        rows.append({"page_id": _number(f["warc-record-id"]), "url": f["warc-target-uri"], "record_type": f["warc-type"], "payload_digest": named, "payload_length": int(f["warc-payload-length"]), "refers_to": _number(f.get("warc-refers-to")), "payload": None if revisit else payload})
+        held += len(payload)
+        if held > 1 << 24:
+            yield pa.RecordBatch.from_pylist(rows, schema=kind)
+            rows, held = [], 0
+    yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
 
 def op6_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
-    wrote = write(table(spark, sf_dir, "pages"), folder).agg(F.sum("records")).first()[0]
-    if not wrote:
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read(spark, folder).select("page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    records = read(write(table(spark, sf_dir, "pages"), folder), folder)
+    return records.select("page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL = {
