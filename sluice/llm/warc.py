@@ -133,7 +133,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = F
             for page_id, url, body, to_id, to_url, revisit in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 if out is None:
                     name = f"part-{task.partitionId():05d}-{len(done):03d}-{task.taskAttemptId()}.warc.zst"
-                    out, records = store.open_output_stream(f"{root}/{name}"), 0
+                    out, records = store.open_output_stream(f"{root}/{name}", compression=None), 0
                     size = out.write(struct.pack("<II", MAGIC, len(used)) + used)
                 size += out.write(packer.compress(record(page_id, url, body, digest(body), to_id, to_url, revisit)))
                 records += 1
