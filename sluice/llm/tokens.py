@@ -2,9 +2,8 @@
 
 A byte-level BPE encoding with this vocabulary's pattern never crosses the place before a space that is followed by
 anything but white space, nor either end of other white space before a word, nor the place between an ASCII letter and
-a mark. Texts are cut there; the distinct pieces
-are encoded by the library, kept while the task runs, and put together by look-up. Texts with white space outside ASCII,
-where that rule has exceptions, go to the library whole.
+a mark. Texts are cut there; the distinct pieces are encoded by the library, kept while the task runs, and put together
+by look-up. Texts with white space outside ASCII, where that rule has exceptions, go to the library whole.
 """
 
 from __future__ import annotations
@@ -63,6 +62,9 @@ class Encoder:
         names = self.library.get_vocab(with_added_tokens=False)
         self.spaced = np.zeros(max(names.values()) + 1, bool)
         self.spaced[[i for name, i in names.items() if name.startswith("\u0120")]] = True  # how the library writes a space
+        #: Bytes of each id's piece of text: names have one character a byte.
+        self.sizes = np.zeros(len(self.spaced), np.int64)
+        self.sizes[list(names.values())] = [len(name) for name in names]
         self.forget()
 
     def forget(self) -> None:
