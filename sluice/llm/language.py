@@ -1,15 +1,16 @@
 """Language identification by compression.
 
 Each language is a Zstandard raw-content dictionary made of training texts of that language. A text, reduced to its
-lower-case words of letters, is compressed once with each; the language whose dictionary gives the smallest frame wins. Where the runner-up is nearly as good
-the prediction is marked as rejected.
+lower-case words of letters, is compressed once with each; the language whose dictionary gives the smallest frame wins.
+Where the runner-up is nearly as good the prediction is marked as rejected. Texts of up to SHORT bytes, which have few
+words to tell languages by, are compressed with more effort than longer ones.
 
 Training reads a bounded sample: SAMPLE_TEXTS documents a language (the ones with the lowest hash of doc_id) and
 DICT_BYTES of their text; languages are dealt with as they occur in the training rows, MAX_LANGUAGES at most. That
 bound keeps the model small enough to broadcast; more languages than that are an error rather than a silent cut.
 
 Defined cases. A null text, and one without any letter, is `und`, with score 0, and rejected. Ties go to the language
-first by code point. With no training rows every text is `und`. Rows with null lang or null text teach nothing.
+of more training rows, then to the first by code point. With no training rows every text is `und`. Rows with null lang or null text teach nothing.
 Repeated rows are each predicted alike. Very long texts are compressed whole. Other columns are not looked at.
 """
 
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
@@ -29,30 +29,31 @@ from sluice.llm import words as W
 from sluice.llm.shared import crc_fold, table
 
 SAMPLE_TEXTS, DICT_BYTES, MAX_LANGUAGES = 400, 1 << 18, 200
-#: Level of the compressors; matching against the dictionary matters more than effort.
-LEVEL = 3
+#: Bytes up to which a text is compressed with _FINE, and the compressors' parameters.
+SHORT = 512
+_FINE = {"strategy": zstandard.STRATEGY_BTLAZY2, "min_match": 3, "search_log": 4, "chain_log": 19, "hash_log": 17}
+_FAST = {"strategy": zstandard.STRATEGY_GREEDY, "min_match": 4, "search_log": 3, "chain_log": 18, "hash_log": 17}
 #: The least gain over the runner-up, as a share of its frame, below which a prediction is rejected.
-MIN_MARGIN = 0.01
+MIN_MARGIN = 0.005
 UNKNOWN = "und"
 
 #: ASCII characters that aren't letters become spaces before compression.
 _LETTERS_ONLY = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 _LETTER = regex.compile(r"\p{L}")
-_ASCII_LETTER = np.zeros(256, bool)
-_ASCII_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
 def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """A dictionary's content for each language of docs (doc_id, text, lang)."""
+    """A dictionary's content for each language of docs (doc_id, text, lang), the most frequent language first."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
     key = F.xxhash64("doc_id")
     # Ranked on narrow rows; Spark keeps the first sample_texts of each language in every task before it shuffles.
     first = rows.select("lang", key.alias("key")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("n") <= sample_texts)
-    last = {r["lang"]: r["key"] for r in first.groupBy("lang").agg(F.max("key").alias("key")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(last) > MAX_LANGUAGES:
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
-    if not last:
+    if not counts:
         return {}
+    last = {r["lang"]: r["key"] for r in first.groupBy("lang").agg(F.max("key").alias("key")).collect()}
     below = F.lit(False)
     for lang, k in sorted(last.items()):
         below = below | ((F.col("lang") == lang) & (key <= k))
@@ -64,7 +65,7 @@ def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, dict_bytes: int = D
         if sizes[r["lang"]] < dict_bytes:
             held[r["lang"]].append(reduced(r["text"]))
             sizes[r["lang"]] += len(held[r["lang"]][-1]) + 1
-    return {lang: b" ".join(parts)[:dict_bytes] for lang, parts in held.items()}
+    return {lang: b" ".join(held[lang])[:dict_bytes] for lang in sorted(held, key=lambda x: (-counts[x], x))}
 
 
 def reduced(text: str) -> bytes:
@@ -72,30 +73,38 @@ def reduced(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(_LETTERS_ONLY).split())
 
 
-def _compressors(model: dict[str, bytes]) -> list:
-    out = []
-    for lang in sorted(model):
-        d = zstandard.ZstdCompressionDict(model[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=LEVEL)
-        out.append((lang, zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_dict_id=False)))
-    return out
+class Judge:
+    """The languages of a model and a compressor of either kind for each; one for each task."""
 
+    def __init__(self, model: dict[str, bytes], min_margin: float = MIN_MARGIN):
+        self.languages, self.min_margin = list(model), min_margin
+        self.fine, self.fast = ([_compressor(model[x], kind) for x in model] for kind in (_FINE, _FAST))
 
-def judge(text: str | None, compressors: list, min_margin: float = MIN_MARGIN) -> tuple[str, float, bool]:
-    """The language, the score and whether the margin is too narrow."""
-    if not text or not compressors or not _LETTER.search(text):
-        return UNKNOWN, 0.0, True
-    return _judged(reduced(text), compressors, min_margin)
+    def one(self, text: str | None) -> tuple[str, float, bool]:
+        """The language, the score and whether the margin is too narrow."""
+        if not text or not self.languages or not _LETTER.search(text):
+            return UNKNOWN, 0.0, True
+        data = reduced(text)
+        sizes = [len(c.compress(data)) for c in (self.fine if len(data) <= SHORT else self.fast)]
+        best = min(range(len(sizes)), key=sizes.__getitem__)
+        others = min((n for k, n in enumerate(sizes) if k != best), default=None)
+        if others is None:
+            return self.languages[best], 1.0, False
+        margin = (others - sizes[best]) / others
+        return self.languages[best], min(1.0, 0.5 + 2 * margin), margin < self.min_margin
 
+    def column(self, column: pa.Array) -> Iterator[tuple[str, float, bool]]:
+        data, offsets = W.text_bytes(column)
+        for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            yield self.one(data[i:j].tobytes().decode())
 
-def _judged(data: bytes, compressors: list, min_margin: float) -> tuple[str, float, bool]:
-    sizes = [len(c.compress(data)) for _, c in compressors]
-    best = min(range(len(sizes)), key=sizes.__getitem__)
-    others = min((s for k, s in enumerate(sizes) if k != best), default=None)
-    if others is None:
-        return compressors[best][0], 1.0, False
-    margin = (others - sizes[best]) / others
-    return compressors[best][0], min(1.0, 0.5 + 2 * margin), margin < min_margin
+
+def _compressor(content: bytes, kind: dict) -> zstandard.ZstdCompressor:
+    # Frames without magic number and size: what is compared is what the dictionary saves.
+    how = zstandard.ZstdCompressionParameters(window_log=19, write_content_size=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS, **kind)
+    of = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    of.precompute_compress(compression_params=how)
+    return zstandard.ZstdCompressor(dict_data=of, compression_params=how)
 
 
 def predict(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_MARGIN, id_col: str = "doc_id", text_col: str = "text", extra: tuple = ()) -> DataFrame:
@@ -106,36 +115,24 @@ def predict(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_MA
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _compressors(sent.value)
+        own = Judge(sent.value, min_margin)
         for batch in batches:
-            got = list(_judge_column(batch.column(batch.num_columns - 1), own, min_margin))
+            got = list(own.column(batch.column(batch.num_columns - 1)))
             new = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names)
 
     return rows.mapInArrow(each, f"{kinds}, lang_pred string, score double, rejected boolean")
 
 
-def _judge_column(column: pa.Array, own: list, min_margin: float) -> Iterator[tuple[str, float, bool]]:
-    data, offsets = W.text_bytes(column)
-    letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data], dtype=np.int64)])
-    has = letters[offsets[1:]] > letters[offsets[:-1]]
-    for i, ascii_letter in enumerate(has.tolist()):
-        text = data[offsets[i] : offsets[i + 1]].tobytes()
-        if not own or not text or not (ascii_letter or _LETTER.search(text.decode())):
-            yield UNKNOWN, 0.0, True
-        else:
-            yield _judged(reduced(text.decode()), own, min_margin)
-
-
 def keep_identified(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_MARGIN, text_col: str = "text") -> DataFrame:
     """docs, all columns, without the rows that are `und` or whose margin is too narrow."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _compressors(sent.value)
+        own = Judge(sent.value, min_margin)
         for batch in batches:
-            yield batch.filter(pa.array([not g[2] for g in _judge_column(batch.column(at), own, min_margin)], pa.bool_()))
+            yield batch.filter(pa.array([not rejected for _, _, rejected in own.column(batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(each, docs.schema)
 
