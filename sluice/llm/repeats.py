@@ -12,10 +12,11 @@ The work is done on blocks: about 2 MB of whole documents, compressed, written o
    holds, so automata are bounded by the size of a block and their number grows with the corpus. All documents stream
    through their shard's automaton, which locates every occurrence of every such phrase.
 4. Passages. Windows with a located anchor gather by their least anchor: consecutive ones with the same anchor are a
-   run, kept as a 128-bit hash of all its words and a 64-bit hash of each window. Runs that are equal as a whole are
-   settled by their first occurrence. Where an anchor has different runs, the first of each kind is settled window by
-   window. Firsts are minima of (doc_id, block, word), so no group is gathered, however often a passage occurs.
-5. Removal. The spans go back to their blocks, and the words that stay are joined by one space.
+   run, known by its anchor and a hash of all its words. Of runs that are equal as a whole the first stays and the
+   others go. Where an anchor has different runs, the first of each kind is settled window by window: of equal windows
+   the first stays. Firsts are minima of (doc_id, block, word), and only firsts travel back to their blocks, so no
+   group is gathered, however often a passage occurs, and no run is joined with its likes.
+5. Removal. In each block, words of runs and windows that are not firsts go; the others are joined by one space.
 
 Defined cases. Null and empty texts have no words. Rows that share a doc_id rank by where they are read; equal rows
 are interchangeable. A null doc_id ranks last. Texts shorter than a window stay whole. An empty table gives an empty
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import words as W
-from sluice.llm.shared import stored, table
+from sluice.llm.shared import drop_folder, stored, table
 
 WINDOW, ANCHOR = 20, 8
 #: Anchors inside a window.
@@ -104,10 +105,8 @@ def _recurring(anchors: DataFrame) -> DataFrame:
 
     An anchor has a row a block at most, so even one that all documents hold has few rows.
     """
-    from pyspark.sql import Window
-
-    of = Window.partitionBy("anchor")
-    rows = anchors.withColumn("rows", F.count(F.lit(1)).over(of)).where("rows > 1 OR word < 0")
+    again = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows"), F.min("word").alias("least")).where("rows > 1 OR least < 0")
+    rows = anchors.join(again.select("anchor"), "anchor")
     word = F.when(F.col("word") < 0, -1 - F.col("word")).otherwise(F.col("word"))
     return rows.groupBy("block").agg(F.collect_list(F.struct("anchor", word.alias("word"))).alias("anchors"))
 
@@ -135,89 +134,125 @@ def locate(b: W.Block, values: np.ndarray, words: np.ndarray) -> tuple[np.ndarra
     return np.searchsorted(ends, found[:, 0]) - (ANCHOR - 1), values[found[:, 1]]
 
 
-_RUNS = "anchor long, run1 long, run2 long, rank long, block long, word int, before int, windows array<long>"
+_RUN = {"anchor": pa.int64(), "run": pa.int64(), "rank": pa.int64(), "word": pa.int32(), "length": pa.int32(), "before": pa.int32()}
+_RUNS = "block long, " + ", ".join(f"{k} array<{'long' if t == pa.int64() else 'int'}>" for k, t in _RUN.items())
 
 
 def _runs(blocks: DataFrame, recurring: DataFrame) -> DataFrame:
-    """A row for each run: its anchor, its hash, where it begins, anchor's word in it, a hash of each window."""
+    """A row for each block with the runs in it: their anchors, their hashes, the documents' ids, the words where they
+    begin, how many windows they have, and how far from there the anchors are."""
     joined = blocks.join(recurring, "block").select("block", "body", "anchors.anchor", "anchors.word")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, block, ids, b in _bodies(batch):
-                values = batch.column(2)[row].values.to_numpy(zero_copy_only=False).astype(np.int64).view(W.U)
-                words = batch.column(3)[row].values.to_numpy(zero_copy_only=False).astype(np.int64)
-                out = _runs_of(block, ids, b, *locate(b, values, words))
-                if out is not None:
-                    yield out
+                columns = _runs_of(ids, b, *locate(b, *(_numbers(batch, k, row) for k in (2, 3))))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([c], pa.list_(t)) for c, t in zip(columns, _RUN.values()))], ["block", *_RUN])
 
     return joined.mapInArrow(each, _RUNS)
 
 
-def _runs_of(block: int, ids: pa.Array, b: W.Block, at: np.ndarray, value: np.ndarray) -> pa.RecordBatch | None:
+def _numbers(batch: pa.RecordBatch, column: int, row: int) -> np.ndarray:
+    """A list of whole numbers; none for null."""
+    value = batch.column(column)[row]
+    return value.values.to_numpy(zero_copy_only=False).astype(np.int64) if value.is_valid else np.zeros(0, np.int64)
+
+
+def _runs_of(ids: pa.Array, b: W.Block, at: np.ndarray, value: np.ndarray) -> list[np.ndarray]:
     anchors = np.full(len(b.starts), _NONE, W.U)
-    anchors[at] = value
+    anchors[at] = value.view(W.U)
     ok = np.flatnonzero(b.words_left() >= WINDOW)
     least = W.sliding_min(anchors, INSIDE)[ok]
     p = ok[least != _NONE]
     if not len(p):
-        return None
+        return [np.zeros(0, np.int64)] * len(_RUN)
     least = least[least != _NONE]
     q = np.zeros(len(p), np.int64)
     for k in reversed(range(INSIDE)):
         q = np.where(anchors[p + k] == least, p + k, q)
-    new = np.concatenate([[True], (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1])])
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1])]))
     length = np.diff(np.append(first, len(p)))
     a, anchor = p[first], q[first]
-    h1 = W.Prefix(b.hashes(), W._GRAM)
-    h2 = W.Prefix(b.hashes(second=True), W._GRAM2)
-    shape = W.mix(((anchor - a) * 64 + length).astype(W.U))
-    run1 = W.mix(h1.of(a, a + length + WINDOW - 1) ^ shape)
-    run2 = W.mix(h2.of(a, a + length + WINDOW - 1) + shape)
-    windows = W.mix(h1.of(p, p + WINDOW) ^ W.mix(h2.of(p, p + WINDOW)))
+    run = W.mix(_hashes(b)(a, a + length + WINDOW - 1) ^ W.mix(((anchor - a) * 64 + length).astype(W.U)))
     text = np.searchsorted(b.first, a, "right") - 1
     rank = ids.fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)[text]
-    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(p)).astype(np.int32)), pa.array(windows.astype(np.int64)))
-    columns = [anchors[anchor].astype(np.int64), run1.astype(np.int64), run2.astype(np.int64), rank.astype(np.int64), np.full(len(a), block), a.astype(np.int32), (anchor - a).astype(np.int32)]
-    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), lists], ["anchor", "run1", "run2", "rank", "block", "word", "before", "windows"])
-
-
-def _spans(runs: DataFrame) -> DataFrame:
-    """block, spans: for each block the words that go, as struct(word, length), overlapping."""
-    key = ["anchor", "run1", "run2"]
-    place = F.struct("rank", "block", "word")
-    kinds = runs.groupBy(*key).agg(F.min(place).alias("first"))
-    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    kinds = kinds.join(several, "anchor")
-    told = runs.join(kinds, key)
-    again = told.where(place != F.col("first")).select("block", "word", (F.size("windows") + WINDOW - 1).alias("length"))
-    firsts = told.where((place == F.col("first")) & (F.col("kinds") > 1)).select("anchor", "before", "rank", "block", "word", F.posexplode("windows").alias("k", "window"))
-    # A window is at the same place before its anchor wherever it occurs.
-    firsts = firsts.select("anchor", (F.col("before") - F.col("k")).alias("before"), "window", "rank", "block", (F.col("word") + F.col("k")).alias("word"))
-    firsts = stored(firsts, "windows")
-    same = ["anchor", "before", "window"]
-    least = firsts.groupBy(*same).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    later = firsts.join(least, same).where(place != F.col("first")).select("block", "word", F.lit(WINDOW).alias("length"))
-    return again.unionByName(later).groupBy("block").agg(F.collect_list(F.struct("word", "length")).alias("spans"))
+    return [anchors[anchor].astype(np.int64), run.astype(np.int64), rank.astype(np.int64), a, length, anchor - a]
+
+
+def _hashes(b: W.Block):
+    """A function from where runs of words begin and end to their hashes, made of two independent ones."""
+    h1, h2 = W.Prefix(b.hashes(), W._GRAM), W.Prefix(b.hashes(second=True), W._GRAM2)
+    return lambda i, j: h1.of(i, j) ^ W.mix(h2.of(i, j))
+
+
+def _firsts(runs: DataFrame) -> DataFrame:
+    """block, firsts: for each block the runs in it that are the first of their kind, as struct(word, length, before,
+    anchor, mixed); mixed if the anchor has other kinds of runs too."""
+    each = runs.select("block", F.inline(F.arrays_zip(*_RUN)))
+    kinds = each.groupBy("anchor", "run").agg(F.min(F.struct("rank", "block", "word", "length", "before")).alias("first")).select("anchor", "first.*")
+    several = kinds.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("mixed"))
+    told = kinds.join(several, "anchor")
+    return told.groupBy("block").agg(F.collect_list(F.struct("word", "length", "before", "anchor", "mixed")).alias("firsts"))
+
+
+def _windows(blocks: DataFrame, firsts: DataFrame) -> DataFrame:
+    """A row for each window of the first runs of their kind whose anchor has several kinds: anchor, window (a hash),
+    rank, block, word."""
+    mixed = firsts.select("block", F.filter("firsts", lambda x: x["mixed"]).alias("f")).where(F.size("f") > 0)
+    joined = blocks.join(mixed, "block").select("block", "body", "f.word", "f.length", "f.before", "f.anchor")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, block, ids, b in _bodies(batch):
+                word, length, before, anchor = (_numbers(batch, k, row) for k in range(2, 6))
+                k = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+                at = np.repeat(word, length) + k
+                # A window is at the same place before its anchor wherever it occurs.
+                window = W.mix(_hashes(b)(at, at + WINDOW) + (np.repeat(before, length) - k).astype(W.U))
+                rank = ids.fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)[np.searchsorted(b.first, at, "right") - 1]
+                columns = [np.repeat(anchor, length), window.astype(np.int64), rank, np.full(len(at), block), at.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "window", "rank", "block", "word"])
+
+    return joined.mapInArrow(each, "anchor long, window long, rank long, block long, word int")
+
+
+def _stay(windows: DataFrame) -> DataFrame:
+    """block, stay: for each block the words where windows begin that are the first of their kind."""
+    least = windows.groupBy("anchor", "window").agg(F.min(F.struct("rank", "block", "word")).alias("first"))
+    return least.groupBy("first.block").agg(F.collect_list("first.word").alias("stay"))
+
+
+def _goes(n: int, word: np.ndarray, length: np.ndarray, first: np.ndarray, mixed: np.ndarray, stay: np.ndarray) -> np.ndarray:
+    """Which of a block's n words go."""
+    whole = ~np.isin(word, first)  # runs that are not the first of their kind
+    starts = np.zeros(n + 1, bool)  # windows that go one by one
+    each = np.isin(word, first[mixed > 0])
+    k = np.arange(int(length[each].sum())) - np.repeat(np.cumsum(length[each]) - length[each], length[each])
+    starts[np.repeat(word[each], length[each]) + k] = True
+    starts[stay] = False
+    single = np.flatnonzero(starts)
+    begins, ends = np.append(word[whole], single), np.append(word[whole] + length[whole] + WINDOW - 1, single + WINDOW)
+    return np.cumsum(np.bincount(begins, minlength=n + 1) - np.bincount(ends, minlength=n + 1))[:n] > 0
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
+    spark = docs.sparkSession
     blocks = stored(pack(docs, id_col, text_col), "blocks")
-    recurring = stored(_recurring(_anchors(blocks)), "anchors")
+    anchors = stored(_anchors(blocks), "anchors")
+    recurring = stored(_recurring(anchors), "recurring")
+    drop_folder(spark, anchors.stored_at)
     runs = stored(_runs(blocks, recurring), "runs")
-    spans = stored(_spans(runs), "spans")
-    joined = blocks.join(spans, "block", "left").select("block", "body", "spans.word", "spans.length")
+    drop_folder(spark, recurring.stored_at)
+    firsts = stored(_firsts(runs), "firsts")
+    stay = stored(_stay(_windows(blocks, firsts)), "stay")
+    told = runs.select("block", "word", "length").join(firsts.select("block", "firsts.word", "firsts.mixed").toDF("block", "first", "mixed"), "block", "left").join(stay, "block", "left")
+    joined = blocks.join(told, "block", "left").select("block", "body", "word", "length", "first", "mixed", "stay")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, _, ids, b in _bodies(batch):
-                goes = np.zeros(len(b.starts), bool)
-                if batch.column(2)[row].is_valid:
-                    word, length = (batch.column(k)[row].values.to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
-                    edges = np.bincount(word, minlength=len(goes) + 1) - np.bincount(word + length, minlength=len(goes) + 1)
-                    goes = np.cumsum(edges)[: len(goes)] > 0
+                goes = _goes(len(b.starts), *(_numbers(batch, k, row) for k in range(2, 7)))
                 total = np.concatenate([[0], np.cumsum(goes)])
                 removed = total[b.first[1:]] - total[b.first[:-1]]
                 raw, kept = b.data.tobytes(), []
