@@ -184,7 +184,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, whole: boo
                         edges[i] += 1
                         edges[i + n] -= 1
                     if len(sets) > 1:
-                        found.unpersist()
+                        vars(found).pop("_value", None)  # it is read again from the worker's disk
                 hit = np.cumsum(edges[:-1]) > 0
                 total = np.concatenate([[0], np.cumsum(hit)])
                 n_hit = total[b.first[1:]] - total[b.first[:-1]]
