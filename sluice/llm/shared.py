@@ -72,3 +72,9 @@ def crc_fold(key: Column, folds: int) -> Column:
 def pieces(rows: int, each: int) -> int:
     """How many parts of about `each` rows hold `rows` rows."""
     return max(1, -(-int(rows or 0) // each))
+
+
+def hash_below(rows: int, wanted: int, spare: int = 4) -> int:
+    """A 64-bit hash below which about spare * wanted of so many rows lie: what is sampled is first cut to these, so
+    that ranking them is bounded however many rows there are."""
+    return min((1 << 63) - 1, int((1 << 64) * (spare * wanted / max(1, rows))) - (1 << 63))

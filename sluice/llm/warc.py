@@ -3,8 +3,8 @@
 A file is a sequence of Zstandard frames. The first is a skippable frame with the magic number 0x184D2A5D whose
 content is the dictionary; every frame after it is one WARC record, compressed with that dictionary and with its
 content size, so a record can be read knowing the dictionary and the frame's place only. The dictionary is built from
-a bounded sample of the records to be archived: SAMPLE_RECORDS of them, those with the lowest hash of page_id, and
-SAMPLE_BYTES of their bytes.
+a bounded sample of the records to be archived: SAMPLE_RECORDS of them, those with the lowest hash of page_id and
+html, and SAMPLE_BYTES of their bytes.
 
 Equal payloads are written once. Of the pages with one payload that with the largest page_id is a response, the
 others are revisits that refer to it; with min_bytes above 0, smaller payloads are all responses. Digests are
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import new_folder, stored, table
+from sluice.llm.shared import hash_below, new_folder, stored, table
 
 MAGIC = 0x184D2A5D
 SAMPLE_RECORDS, SAMPLE_BYTES, DICT_BYTES = 2000, 8 << 20, 112 << 10
@@ -86,7 +86,11 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 def dictionary(pages: DataFrame) -> bytes:
     """A dictionary for records of pages (page_id, url, html), or no bytes if there is too little to learn from."""
     key = F.xxhash64("page_id", "html")
-    sample = pages.select("page_id", "url", F.coalesce(F.substring("html", 1, SAMPLE_BYTES // 16), F.lit("")).alias("html"), key.alias("key")).orderBy("key").limit(SAMPLE_RECORDS)
+    near = pages.where(key <= hash_below(pages.count(), SAMPLE_RECORDS))
+    html = F.coalesce(F.substring("html", 1, SAMPLE_BYTES // 16), F.lit("")).alias("html")
+    # Equal rows have equal keys: however often a page occurs, it is sampled once.
+    one = near.select(key.alias("key"), "page_id", "url", html).groupBy("key").agg(F.min(F.struct("page_id", "url", "html")).alias("r"))
+    sample = one.orderBy("key").limit(SAMPLE_RECORDS).select("r.*")
     parts, held = [], 0
     for r in sample.toLocalIterator():
         payload = r["html"].encode()
