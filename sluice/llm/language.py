@@ -26,11 +26,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sluice.llm import words as W
-from sluice.llm.shared import crc_fold, table
+from sluice.llm.shared import crc_fold, hash_below, table
 
-SAMPLE_TEXTS, DICT_BYTES, MAX_LANGUAGES = 400, 1 << 18, 200
 #: Where very many rows of a language share few ids, its sample may come short of SAMPLE_TEXTS.
-SPARE = 4
+SAMPLE_TEXTS, DICT_BYTES, MAX_LANGUAGES = 400, 1 << 18, 200
 #: Bytes up to which a text is compressed with _FINE, and the compressors' parameters.
 SHORT = 512
 _FINE = {"strategy": zstandard.STRATEGY_BTLAZY2, "min_match": 3, "search_log": 4, "chain_log": 19, "hash_log": 17}
@@ -53,11 +52,9 @@ def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, dict_bytes: int = D
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
     if not counts:
         return {}
-    # Only keys low enough to be about SPARE samples a language are ranked, however many rows there are.
     near = F.lit(False)
     for lang, n in sorted(counts.items()):
-        most = min((1 << 63) - 1, int((1 << 64) * (SPARE * sample_texts / n)) - (1 << 63))
-        near = near | ((F.col("lang") == lang) & (key <= most))
+        near = near | ((F.col("lang") == lang) & (key <= hash_below(n, sample_texts)))
     first = rows.where(near).select("lang", key.alias("key")).distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("n") <= sample_texts)
     last = {r["lang"]: r["key"] for r in first.groupBy("lang").agg(F.max("key").alias("key")).collect()}
     below = F.lit(False)

@@ -27,7 +27,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sluice.llm import words as W
-from sluice.llm.shared import crc_fold, table
+from sluice.llm.shared import crc_fold, hash_below, table
 
 #: Rows of each label that are learned from, and pairs that each row of the larger side is in.
 SAMPLE, PAIRS = 4000, 8
@@ -176,8 +176,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     good_share = share.get(1, 0) / n if n else 0.5
     if not share.get(0) or not share.get(1):
         return {"constant": good_share}
-    by = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = marks.withColumn("n", F.row_number().over(by)).where(F.col("n") <= sample).select("doc_id", "quality")
+    key = F.xxhash64("doc_id")
+    near = F.lit(False)
+    for label, rows in share.items():
+        near = near | ((F.col("quality") == label) & (key <= hash_below(rows, sample)))
+    by = Window.partitionBy("quality").orderBy(key, "doc_id")
+    chosen = marks.where(near).withColumn("n", F.row_number().over(by)).where(F.col("n") <= sample).select("doc_id", "quality")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * sample rows at most
     texts = texts.groupBy("doc_id", "quality").agg(F.max("text").alias("text"))
     rows = with_features(texts, ("quality",)).orderBy("doc_id").collect()
