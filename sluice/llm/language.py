@@ -1,9 +1,13 @@
 """Language identification by compression.
 
 Each language is a Zstandard raw-content dictionary made of training texts of that language. A text, reduced to its
-lower-case words of letters, is compressed once with each; the language whose dictionary gives the smallest frame wins.
-Where the runner-up is nearly as good the prediction is marked as rejected. Texts of up to SHORT bytes, which have few
-words to tell languages by, are compressed with more effort than longer ones.
+lower-case words of letters, is compressed with each; the language whose dictionary gives the smallest size wins. Where
+the runner-up is nearly as good the prediction is marked as rejected. Texts of up to SHORT bytes, which have few words
+to tell languages by, are compressed with more effort than longer ones.
+
+A text of over PIECE bytes is cut into equal pieces of PIECE bytes at most. Each piece is compressed afresh, so that all
+of it has the dictionary in reach, and the sizes are added up: every part of a text counts alike, and the margin doesn't
+shrink with the length.
 
 Training reads a bounded sample: SAMPLE_TEXTS documents a language (the ones with the lowest hash of doc_id) and
 DICT_BYTES of their text; languages are dealt with as they occur in the training rows, MAX_LANGUAGES at most. That
@@ -11,7 +15,8 @@ bound keeps the model small enough to broadcast; more languages than that are an
 
 Defined cases. A null text, and one without any letter, is `und`, with score 0, and rejected. Ties go to the language
 of more training rows, then to the first by code point. With no training rows every text is `und`. Rows with null lang or null text teach nothing.
-Repeated rows are each predicted alike. Very long texts are compressed whole. Other columns are not looked at.
+Repeated rows are each predicted alike. All pieces of a text are compressed, however long it is. Other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sluice.llm import words as W
-from sluice.llm.shared import crc_fold, hash_below, table
+from sluice.llm.shared import crc_fold, hash_below, pieces, table
 
 #: Where very many rows of a language share few ids, its sample may come short of SAMPLE_TEXTS.
 SAMPLE_TEXTS, DICT_BYTES, MAX_LANGUAGES = 400, 1 << 18, 200
@@ -34,7 +39,9 @@ SAMPLE_TEXTS, DICT_BYTES, MAX_LANGUAGES = 400, 1 << 18, 200
 SHORT = 512
 _FINE = {"strategy": zstandard.STRATEGY_BTLAZY2, "min_match": 3, "search_log": 4, "chain_log": 19, "hash_log": 17}
 _FAST = {"strategy": zstandard.STRATEGY_GREEDY, "min_match": 4, "search_log": 3, "chain_log": 18, "hash_log": 17}
-#: The least gain over the runner-up, as a share of its frame, below which a prediction is rejected.
+#: Bytes of a piece; with DICT_BYTES it stays within the compressors' window.
+PIECE = 1 << 16
+#: The least gain over the runner-up, as a share of its size, below which a prediction is rejected.
 MIN_MARGIN = 0.005
 UNKNOWN = "und"
 
@@ -76,6 +83,12 @@ def reduced(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(_LETTERS_ONLY).split())
 
 
+def cut(data: bytes) -> list[bytes]:
+    """data in pieces of PIECE bytes at most, none longer than another by more than a byte."""
+    n = pieces(len(data), PIECE)
+    return [data[len(data) * k // n : len(data) * (k + 1) // n] for k in range(n)]
+
+
 class Judge:
     """The languages of a model and a compressor of either kind for each; one for each task."""
 
@@ -88,7 +101,8 @@ class Judge:
         if not text or not self.languages or not _LETTER.search(text):
             return UNKNOWN, 0.0, True
         data = reduced(text)
-        sizes = [len(c.compress(data)) for c in (self.fine if len(data) <= SHORT else self.fast)]
+        parts = cut(data)
+        sizes = [sum(len(c.compress(part)) for part in parts) for c in (self.fine if len(data) <= SHORT else self.fast)]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         others = min((n for k, n in enumerate(sizes) if k != best), default=None)
         if others is None:

@@ -30,6 +30,28 @@ def test_language_awkward(spark):
     assert {r["lang_pred"] for r in language.predict(docs, {}).collect()} == {"und"}
 
 
+def tongues():
+    """For each of two made-up languages a function that gives a text of n bytes of its words."""
+    rng = np.random.default_rng(5)
+    out = {}
+    for lang, letters in (("aa", "aeioklmnprst"), ("bb", "bdfghjuvwxyz")):
+        vocabulary = np.array(["".join(rng.choice(list(letters), rng.integers(3, 10))) for _ in range(3000)])
+        out[lang] = lambda n, v=vocabulary: " ".join(v[rng.integers(0, len(v), n // 4)])[:n]
+    return out
+
+
+def test_language_of_clean_long_text(spark):
+    text = tongues()
+    docs = spark.createDataFrame([(i, text[x](2000), x) for i, x in enumerate(["aa", "bb"] * 150)], "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    long = spark.createDataFrame([(1000 + n, text[x](n), x) for x in text for n in (60_000, 1_000_000, 5_000_000)], docs.schema)
+    got = {(r["lang"], r["doc_id"]): r for r in language.predict(long, model, extra=("lang",)).collect()}
+    assert len(got) == 6 and all(r["lang_pred"] == x and not r["rejected"] for (x, _), r in got.items())
+    assert language.keep_identified(long, model).count() == 6
+    for x in text:  # the margin doesn't shrink with the length
+        assert got[x, 5_001_000]["score"] - 0.5 > 0.8 * (got[x, 61_000]["score"] - 0.5)
+
+
 def test_quality_held_out(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DIR}/labels.parquet").collect()}
     rows = queries.QUERIES["op3_quality_ranking"](spark, DIR).collect()
