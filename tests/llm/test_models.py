@@ -52,6 +52,14 @@ def test_language_of_clean_long_text(spark):
         assert got[x, 5_001_000]["score"] - 0.5 > 0.8 * (got[x, 61_000]["score"] - 0.5)
 
 
+def test_language_of_whole_text_not_its_opening():
+    text = tongues()
+    judge = language.Judge({x: text[x](language.DICT_BYTES).encode() for x in text})
+    for opening, rest in (("aa", "bb"), ("bb", "aa")):
+        for n in (50_000, 150_000):
+            assert judge.one(text[opening](n) + " " + text[rest](2_500_000))[::2] == (rest, False)
+
+
 def test_quality_held_out(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DIR}/labels.parquet").collect()}
     rows = queries.QUERIES["op3_quality_ranking"](spark, DIR).collect()
