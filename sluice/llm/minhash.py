@@ -6,7 +6,7 @@ after lower-casing A-Z); fewer words make one shingle, no words an empty set, wh
 Signatures take two permutations of the 32-bit numbers: the first scatters a shingle's hash, the second, shifted
 circularly by k, gives coordinate k; the least value over the set is kept. BANDS bands of ROWS coordinates are hashed
 to buckets. Two sets that overlap by 0.85 miss each other in all 20 bands of 4 with probability (1 - 0.85^4)^20 =
-4e-7; closer ones less often.
+4e-7; closer ones less often. The least overlap is a parameter; at 0.8 the bands miss a pair with probability 2.6e-5.
 
 Linking, in steps that each move little and never gather an unbounded group:
 
@@ -17,8 +17,8 @@ Linking, in steps that each move little and never gather an unbounded group:
    and every pair of blocks meets in a group of its own, so that a group stays small and all pairs are covered.
 4. In a group, pairs whose signatures agree enough are taken from the most alike down; a pair that is not yet
    connected is confirmed on the full sets, and if linked becomes an edge. A group of n classes yields n - 1 edges at
-   most, whatever the number of its pairs. The agreement asked for (MIN_AGREE coordinates of 80) is missed by a pair
-   at 0.85 with probability 2e-7.
+   most, whatever the number of its pairs. The agreement asked for (min_agree(), 50 coordinates of 80 at 0.85) is
+   missed by a pair at the least overlap with probability MISS at most.
 5. Components are found by passing the smallest id along edges and shortcutting, until nothing changes.
 
 Defined cases. Null and empty texts have n_shingles 0 and are their own component. Repeated rows and equal texts are
@@ -28,6 +28,7 @@ left alone and kept, with a null component. An empty table gives an empty result
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,15 +41,26 @@ from sluice.llm.shared import drop_folder, stored, table
 
 SHINGLE, BANDS, ROWS = 5, 20, 4
 COORDS = BANDS * ROWS
-#: The least overlap, as a fraction of integers: 100 * both >= 85 * either.
-NUM, DEN = 85, 100
-MIN_AGREE = 50
+#: The least overlap where none is named, as a fraction of integers: 100 * both >= 85 * either.
+RATIO = (85, 100)
+#: How likely a pair at the least overlap may be missed for too few equal coordinates.
+MISS = 5e-7
 #: About as many classes meet in one half of a group.
 BLOCK = 256
 
 V = np.uint32
 
 
+def min_agree(ratio: tuple[int, int]) -> int:
+    """The largest number of coordinates that a pair overlapping by ratio falls short of with probability MISS at most."""
+    p, below = ratio[0] / ratio[1], 0.0
+    for k in range(COORDS + 1):
+        below += math.comb(COORDS, k) * p**k * (1 - p) ** (COORDS - k)
+        if below > MISS:
+            return k
+    return COORDS
+
+
 def _first(x: np.ndarray) -> np.ndarray:
     """The first permutation of the 32-bit numbers."""
     x = (x ^ (x >> V(16))) * V(0x7FEB352D)
@@ -166,20 +178,21 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
     return joined.mapInArrow(each, schema)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, ratio: tuple[int, int] = RATIO) -> bool:
     """Whether two ascending arrays of distinct shingles overlap enough."""
-    small, large = sorted((len(a), len(b)))
-    if DEN * small < NUM * large:
+    (num, den), (small, large) = ratio, sorted((len(a), len(b)))
+    if den * small < num * large:
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return DEN * both >= NUM * (len(a) + len(b) - both)
+    return den * both >= num * (len(a) + len(b) - both)
 
 
-def spanning_links(ids: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+def spanning_links(ids: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, ratio: tuple[int, int] = RATIO) -> list[tuple[int, int]]:
     """Edges that connect what the links between left and right rows (indexes) connect.
 
     Both may be the same rows. Pairs are taken from the most alike down, and only while unconnected.
     """
+    (num, den), least = ratio, min_agree(ratio)
     root = list(range(len(ids)))
 
     def find(i: int) -> int:
@@ -192,33 +205,33 @@ def spanning_links(ids: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], le
     pairs = []
     for i in left.tolist():
         others = right[right > i] if left is right else right[ids[right] != ids[i]]
-        fit = others[(DEN * np.minimum(size[others], size[i]) >= NUM * np.maximum(size[others], size[i]))]
+        fit = others[(den * np.minimum(size[others], size[i]) >= num * np.maximum(size[others], size[i]))]
         if not len(fit):
             continue
         agree = (sigs[fit] == sigs[i]).sum(axis=1)
-        for j, k in zip(fit[agree >= MIN_AGREE].tolist(), agree[agree >= MIN_AGREE].tolist()):
+        for j, k in zip(fit[agree >= least].tolist(), agree[agree >= least].tolist()):
             pairs.append((-k, i, j))
     pairs.sort()
     out = []
     for _, i, j in pairs:
         a, b = find(i), find(j)
-        if a != b and linked(sets[i], sets[j]):
+        if a != b and linked(sets[i], sets[j], ratio):
             root[a] = b
             out.append((int(ids[i]), int(ids[j])))
     return out
 
 
-def _meet(ids: list, sigs: list, sets: list, half: list) -> list[tuple[int, int]]:
+def _meet(ids: list, sigs: list, sets: list, half: list, ratio: tuple[int, int]) -> list[tuple[int, int]]:
     ids, half = np.array(ids, np.int64), np.array(half, np.int64)
     sigs = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(ids), COORDS)
     sets = [np.frombuffer(s, W.U) for s in sets]
     if half.min() == half.max():
         every = np.arange(len(ids))
-        return spanning_links(ids, sigs, sets, every, every)
-    return spanning_links(ids, sigs, sets, np.flatnonzero(half == half.min()), np.flatnonzero(half == half.max()))
+        return spanning_links(ids, sigs, sets, every, every, ratio)
+    return spanning_links(ids, sigs, sets, np.flatnonzero(half == half.min()), np.flatnonzero(half == half.max()), ratio)
 
 
-def links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
+def links(sets: DataFrame, block: int = BLOCK, ratio: tuple[int, int] = RATIO) -> DataFrame:
     """Edges (a, b) between classes that connect all that links connect.
 
     Rows come sorted by group, and a group has about two blocks of rows, so a group is held while it streams by.
@@ -235,23 +248,23 @@ def links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
             a, b = [], []
             for *own, half, doc, sig, shingles in zip(*cols):
                 if own != at:
-                    _close(at, group, a, b)
+                    _close(at, group, a, b, ratio)
                     at, group = own, ([], [], [], [])
                 for column, x in zip(group, (doc, sig, shingles, half)):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         a, b = [], []
-        _close(at, group, a, b)
+        _close(at, group, a, b, ratio)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(each, "a long, b long")
 
 
-def _close(at: list | None, group: tuple, a: list, b: list) -> None:
+def _close(at: list | None, group: tuple, a: list, b: list, ratio: tuple[int, int]) -> None:
     ids, _, _, half = group
     if len(ids) < 2 or (at[1] != at[2] and len(set(half)) < 2):  # nothing to meet; a block meets itself elsewhere
         return
-    for x, y in _meet(*group):
+    for x, y in _meet(*group, ratio):
         a.append(x)
         b.append(y)
 
@@ -283,8 +296,8 @@ def components(edges: DataFrame) -> DataFrame:
         drop_folder(last.sparkSession, last.stored_at)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, ratio: tuple[int, int] = RATIO) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id, kept (doc_id = component_id). ratio is the least overlap."""
     rows = stored(sketches(docs, id_col, text_col), "sketches")
     own = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["n_shingles", "set1", "set2"]
@@ -293,7 +306,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = own.groupBy(*same).agg(F.min_by(F.struct("doc_id", "sig", "bands"), "doc_id").alias("x")).select(*same, "x.*")
     wanted = _buckets(firsts)
     meet = own.select("doc_id", "set1", "set2", "sig").join(wanted, "doc_id").dropDuplicates(["doc_id", "set1", "set2"])
-    edges = links(_sets(docs, meet, id_col, text_col), block)
+    edges = links(_sets(docs, meet, id_col, text_col), block, ratio)
     # members of a class, and rows that share a doc_id, hang on the class's first
     copies = own.select("doc_id", *same).join(classes.where("copies > 1"), same).select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
     found = components(edges.unionByName(copies))
@@ -303,12 +316,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio: tuple[int, int] = RATIO) -> DataFrame:
     """docs, all columns, one document of each component; of rows that share a kept doc_id one stays.
 
     Rows without a doc_id stay.
     """
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept"))
+    kept = near_duplicates(docs, id_col, text_col, ratio=ratio).where("kept").select(F.col("doc_id").alias("__kept"))
     out = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
     return out.unionByName(docs.where(F.col(id_col).isNull()))
 

@@ -4,7 +4,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from sluice.llm import decontaminate, minhash, repeats
-from tests.llm.common import LOWER, SCHEMA, awkward, bag, frame, words
+from tests.llm.common import DIR, LOWER, SCHEMA, awkward, bag, frame, words
 
 
 def removed(rows):
@@ -88,6 +88,27 @@ def test_near_duplicates_by_brute_force(spark):
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_duplicates_at_another_overlap(spark):
+    """What keep_one() leaves at 0.8, by brute force over the documents; it is less than at 0.85."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")
+    sets = {}
+    for r in docs.collect():
+        w = words(r["text"].translate(LOWER)) if r["text"] else []
+        sets[r["doc_id"]] = {tuple(w[i : i + min(5, len(w))]) for i in range(len(w) - min(5, len(w)) + 1)} if w else set()
+    close = {n: [(i, j) for i in sets for j in sets if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= n * len(sets[i] | sets[j])] for n in (80, 85)}
+    assert len(close[80]) > len(close[85])
+    left = {}
+    for n, pairs in close.items():
+        component = {i: i for i in sets}
+        while any(component[i] != component[j] for i, j in pairs):
+            for i, j in pairs:
+                component[i] = component[j] = min(component[i], component[j])
+        left[n] = {i for i, c in component.items() if i == c}
+        assert {r["doc_id"] for r in minhash.keep_one(docs, ratio=(n, 100)).collect()} == left[n]
+    assert left[80] < left[85]
+    assert minhash.min_agree((85, 100)) == 50 and minhash.min_agree((80, 100)) <= 45
+
+
 def test_near_duplicates_awkward(spark):
     docs = frame(spark)
     got = minhash.near_duplicates(docs).collect()
