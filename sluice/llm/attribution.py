@@ -1,9 +1,8 @@
 """Token counts by section: whole documents are encoded once, and token spans are joined to section spans.
 
-A byte-level vocabulary's tokens stand for fixed runs of bytes, so the ids of a document give the character span of
-every token: from the character its first byte lies in to the one its last byte lies in. Sections are spans of
-characters, in ascending order, that do not overlap. Both lists are sorted, so the interval join of a document's tokens
-to its sections is a merge by binary search within the document; nothing is shuffled.
+Every document goes to the library whole, which gives the characters where each token begins and ends. Sections are
+spans of characters, in ascending order, that do not overlap. Both lists are sorted, so the interval join of a
+document's tokens to its sections is a merge by binary search within the document; nothing is shuffled.
 
 The rule for tokens. A token goes, whole, to the section with which it shares the most characters, among equals to the
 earliest. A token that shares none, as one that lies between two sections, goes to the last section that begins before
@@ -16,8 +15,8 @@ into one text, and any column of array<struct<start:long,end:long>> can be given
 Defined cases. A null or empty text has one section, (0, 0), with no tokens. An empty or null list of sections counts
 as one section over the whole text. Unsorted sections are sorted; overlapping ones are an error. Empty sections are
 kept; a token can only go to them by the last part of the rule. Rows that share a doc_id, and equal rows, are each
-counted. A text with white space outside ASCII goes to the library whole. An empty table gives an empty result. Columns
-beyond those named are not looked at.
+counted. A very long text is encoded whole, alone in its task, which takes about 200 bytes a token. An empty table gives
+an empty result. Columns beyond those named are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -95,27 +94,19 @@ def attribute(docs: DataFrame, sections: str | None = None, path: str | None = N
         encoder = Encoder(path)
         for batch in batches:
             for b in W.blocks(batch.column(1), W.NOT_SPACE):
-                ids, counts = encoder.encode(b)
                 given = batch.column(2).slice(b.rows[0], len(b)).to_pylist() if sections else None
-                yield _counted(batch.column(0).slice(b.rows[0], len(b)), b, encoder.sizes[ids], counts, given)
+                yield _counted(batch.column(0).slice(b.rows[0], len(b)), b, encoder.spans(b), given)
 
     return rows.mapInArrow(each, f"doc_id {kind}, section long, char_start long, char_end long, n_tokens long, n_crossing long")
 
 
-def _counted(doc_ids: pa.Array, b: W.Block, sizes: np.ndarray, counts: np.ndarray, given: list | None) -> pa.RecordBatch:
-    ends = np.cumsum(sizes)  # in the block's bytes: tokens leave no byte out
-    if len(ends) and ends[-1] != len(b.data) or not len(ends) and len(b.data):
-        raise ValueError("the tokens' bytes do not add up to the text")
-    char = np.cumsum((b.data & 0xC0) != 0x80) - 1  # the character that each byte lies in
-    first = np.concatenate([[0], np.cumsum(counts)])
+def _counted(doc_ids: pa.Array, b: W.Block, tokens: Iterator[np.ndarray], given: list | None) -> pa.RecordBatch:
+    before = np.concatenate([[0], np.cumsum((b.data & 0xC0) != 0x80)])  # characters before each byte
     at, out = [], []
-    for row, (i, j) in enumerate(zip(b.offsets[:-1].tolist(), b.offsets[1:].tolist())):
-        own = slice(int(first[row]), int(first[row + 1]))
-        base = char[i] if i < j else 0
-        chars = int(char[j - 1] - base + 1) if i < j else 0
-        spans = line_sections(b.data[i:j]) if given is None else _checked(given[row], chars)
-        begin, end = char[ends[own] - sizes[own]] - base, char[ends[own] - 1] - base + 1
-        where, crossing = allocate(begin, end, spans)
+    for row, own in enumerate(tokens):
+        i, j = int(b.offsets[row]), int(b.offsets[row + 1])
+        spans = line_sections(b.data[i:j]) if given is None else _checked(given[row], int(before[j] - before[i]))
+        where, crossing = allocate(own[:, 0], own[:, 1], spans)
         n = len(spans)
         at += [row] * n
         out.append(np.column_stack([np.arange(n), spans, np.bincount(where, minlength=n), np.bincount(where[crossing], minlength=n)]))

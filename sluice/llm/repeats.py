@@ -6,25 +6,29 @@ word goes if a window that covers it also starts earlier: in a document with a s
 The work is done on blocks: about 2 MB of whole documents, compressed, written once and read by every step.
 
 1. Candidates. Of the runs of ANCHOR words inside a window, the one with the least hash stands for it; equal windows
-   have equal ones. Each block names the anchors that stand for its windows, once each, and where one lies.
-2. Confirmation. Anchors that lie at two places or more, in any blocks, recur; the others go.
-3. Automata. Each block is a shard with its own Aho-Corasick automaton, made of the recurring anchors that the block
-   holds, so automata are bounded by the size of a block and their number grows with the corpus. All documents stream
-   through their shard's automaton, which locates every occurrence of every such phrase.
-4. Passages. Windows with a located anchor gather by their least anchor: consecutive ones with the same anchor are a
-   run, known by its anchor and a hash of all its words. Of runs that are equal as a whole the first stays and the
-   others go. Where an anchor has different runs, the first of each kind is settled window by window: of equal windows
-   the first stays. Firsts are minima of (doc_id, block, word), and only firsts travel back to their blocks, so no
-   group is gathered, however often a passage occurs, and no run is joined with its likes.
+   have equal ones. Each block names the anchors that stand for its windows, once each, and where one lies. Anchors
+   that lie at one place only, in all blocks, go.
+2. Automata. Each block is a shard with its own Aho-Corasick automaton, made of the words of the candidates that the
+   block holds, so automata are bounded by the size of a block and their number grows with the corpus. All documents
+   stream through their shard's automaton, which locates every occurrence of every such phrase, word for word.
+3. Passages. Windows with a located phrase gather by their least one: consecutive ones with the same phrase are a run.
+4. Confirmation. A passage is known by 128 bits of the BLAKE2 digest of its words, so that only what the automata
+   located and what has the same words counts as recurring; the hashes of step 1 merely bring candidates together. Of
+   runs that are equal as a whole the first stays and the others go. Where an anchor has different runs, the first of
+   each kind is settled window by window, by the same digest: of equal windows the first stays. Firsts are minima of
+   (doc_id, block, word), and only firsts travel back to their blocks, so no group is gathered, however often a
+   passage occurs, and no run is joined with its likes.
 5. Removal. In each block, words of runs and windows that are not firsts go; the others are joined by one space.
 
 Defined cases. Null and empty texts have no words. Rows that share a doc_id rank by where they are read; equal rows
-are interchangeable. A null doc_id ranks last. Texts shorter than a window stay whole. An empty table gives an empty
-result. Only the id and the text are read.
+are interchangeable. A null doc_id ranks last. Texts shorter than a window stay whole. A text of over 2 MB is a block
+of its own and is worked on whole, in about 60 bytes of memory for each of its bytes; so is a word of any length. An
+empty table gives an empty result. Only the id and the text are read, whatever the other columns are called.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -41,6 +45,9 @@ WINDOW, ANCHOR = 20, 8
 #: Anchors inside a window.
 INSIDE = WINDOW - ANCHOR + 1
 
+#: Kinds of runs that an anchor must have at least to count as hot.
+HOT = 10_000
+
 _NONE = np.iinfo(np.uint64).max
 
 
@@ -111,42 +118,55 @@ def _recurring(anchors: DataFrame) -> DataFrame:
     return rows.groupBy("block").agg(F.collect_list(F.struct("anchor", word.alias("word"))).alias("anchors"))
 
 
-def locate(b: W.Block, values: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Joined:
+    """A block's words as one string of bytes: for each document with words, a space, its words joined by spaces, a
+    space and a line feed. begins, ends: of words in it."""
+
+    def __init__(self, b: W.Block):
+        filled = np.cumsum(b.counts > 0)
+        text_of = np.repeat(np.arange(len(b)), b.counts)
+        self.ends = np.cumsum(b.ends - b.starts + 1) + 2 * (filled[text_of] - 1)
+        self.begins = self.ends - (b.ends - b.starts) - 1
+        raw = b.data.tobytes()
+        parts = (raw[i:j].split() for i, j in zip(b.offsets[:-1], b.offsets[1:]))
+        self.text = b"\n".join(b" " + b" ".join(p) + b" " for p in parts if p)
+
+    def digests(self, first: np.ndarray, words: np.ndarray | int) -> np.ndarray:
+        """Two whole numbers that stand for the words of each passage, given by its first word and their number."""
+        # A word begins after its space, which belongs to the place where a phrase is looked for.
+        text, blake = self.text, hashlib.blake2b
+        spans = zip((self.begins[first] + 1).tolist(), self.ends[first + words - 1].tolist())
+        return np.frombuffer(b"".join([blake(text[i:j], digest_size=16).digest() for i, j in spans]), np.int64).reshape(-1, 2)
+
+
+def locate(joined: Joined, values: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words where anchors begin, anywhere in the block, and which: an automaton over the block's text.
 
     values name the anchors; words say where in the block one of each can be read.
     """
-    lengths = b.ends - b.starts
-    filled = np.cumsum(b.counts > 0)
-    text_of = np.repeat(np.arange(len(b)), b.counts)
-    # The text: for each document with words, a space, its words joined by spaces, a space and a line feed.
-    ends = np.cumsum(lengths + 1) + 2 * (filled[text_of] - 1)
-    begins = ends - lengths - 1
-    raw = b.data.tobytes()
-    parts = (raw[i:j].split() for i, j in zip(b.offsets[:-1], b.offsets[1:]))
     # Bytes as Latin-1 characters: positions in the text are then positions of bytes.
-    text = "\n".join(" " + b" ".join(p).decode("latin-1") + " " for p in parts if p)
+    text = joined.text.decode("latin-1")
     phrases = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for k, (i, j) in enumerate(zip(begins[words].tolist(), (ends[words + ANCHOR - 1] + 1).tolist())):
+    for k, (i, j) in enumerate(zip(joined.begins[words].tolist(), (joined.ends[words + ANCHOR - 1] + 1).tolist())):
         phrases.add_word(text[i:j], k)
     phrases.make_automaton()
     found = np.array([x for hit in phrases.iter(text) for x in hit], np.int64).reshape(-1, 2)
-    return np.searchsorted(ends, found[:, 0]) - (ANCHOR - 1), values[found[:, 1]]
+    return np.searchsorted(joined.ends, found[:, 0]) - (ANCHOR - 1), values[found[:, 1]]
 
 
-_RUN = {"anchor": pa.int64(), "run": pa.int64(), "rank": pa.int64(), "word": pa.int32(), "length": pa.int32(), "before": pa.int32()}
+_RUN = {"anchor": pa.int64(), "run1": pa.int64(), "run2": pa.int64(), "rank": pa.int64(), "word": pa.int32(), "length": pa.int32()}
 _RUNS = "block long, " + ", ".join(f"{k} array<{'long' if t == pa.int64() else 'int'}>" for k, t in _RUN.items())
 
 
 def _runs(blocks: DataFrame, recurring: DataFrame) -> DataFrame:
-    """A row for each block with the runs in it: their anchors, their hashes, the documents' ids, the words where they
-    begin, how many windows they have, and how far from there the anchors are."""
+    """A row for each block with the runs in it: their anchors, their digests, the documents' ids, the words where they
+    begin, and how many windows they have."""
     joined = blocks.join(recurring, "block").select("block", "body", "anchors.anchor", "anchors.word")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, block, ids, b in _bodies(batch):
-                columns = _runs_of(ids, b, *locate(b, *(_numbers(batch, k, row) for k in (2, 3))))
+                columns = _runs_of(ids, b, *(_numbers(batch, k, row) for k in (2, 3)))
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([c], pa.list_(t)) for c, t in zip(columns, _RUN.values()))], ["block", *_RUN])
 
     return joined.mapInArrow(each, _RUNS)
@@ -158,7 +178,9 @@ def _numbers(batch: pa.RecordBatch, column: int, row: int) -> np.ndarray:
     return value.values.to_numpy(zero_copy_only=False).astype(np.int64) if value.is_valid else np.zeros(0, np.int64)
 
 
-def _runs_of(ids: pa.Array, b: W.Block, at: np.ndarray, value: np.ndarray) -> list[np.ndarray]:
+def _runs_of(ids: pa.Array, b: W.Block, values: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+    joined = Joined(b)
+    at, value = locate(joined, values, words)
     anchors = np.full(len(b.starts), _NONE, W.U)
     anchors[at] = value.view(W.U)
     ok = np.flatnonzero(b.words_left() >= WINDOW)
@@ -172,53 +194,55 @@ def _runs_of(ids: pa.Array, b: W.Block, at: np.ndarray, value: np.ndarray) -> li
         q = np.where(anchors[p + k] == least, p + k, q)
     first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1])]))
     length = np.diff(np.append(first, len(p)))
-    a, anchor = p[first], q[first]
-    run = W.mix(_hashes(b)(a, a + length + WINDOW - 1) ^ W.mix(((anchor - a) * 64 + length).astype(W.U)))
-    text = np.searchsorted(b.first, a, "right") - 1
-    rank = ids.fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)[text]
-    return [anchors[anchor].astype(np.int64), run.astype(np.int64), rank.astype(np.int64), a, length, anchor - a]
+    a = p[first]
+    run = joined.digests(a, length + WINDOW - 1)
+    return [anchors[q[first]].astype(np.int64), run[:, 0], run[:, 1], _ranks(ids, b, a), a, length]
 
 
-def _hashes(b: W.Block):
-    """A function from where runs of words begin and end to their hashes, made of two independent ones."""
-    h1, h2 = W.Prefix(b.hashes(), W._GRAM), W.Prefix(b.hashes(second=True), W._GRAM2)
-    return lambda i, j: h1.of(i, j) ^ W.mix(h2.of(i, j))
+def _ranks(ids: pa.Array, b: W.Block, words: np.ndarray) -> np.ndarray:
+    """The ids of the documents that hold the words; null is the largest."""
+    return ids.fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)[np.searchsorted(b.first, words, "right") - 1].astype(np.int64)
 
 
 def _firsts(runs: DataFrame) -> DataFrame:
-    """block, firsts: for each block the runs in it that are the first of their kind, as struct(word, length, before,
-    anchor, mixed); mixed if the anchor has other kinds of runs too."""
+    """block, firsts: for each block the runs in it that are the first of their kind, as struct(word, length, anchor,
+    mixed); mixed if the anchor has other kinds of runs too.
+
+    The kinds of an anchor are counted with partial sums. An anchor that has more than a 1,000th of all runs, and there
+    are fewer than 1,000 of those, is told to all tasks; its kinds are not gathered to be told.
+    """
     each = runs.select("block", F.inline(F.arrays_zip(*_RUN)))
-    kinds = each.groupBy("anchor", "run").agg(F.min(F.struct("rank", "block", "word", "length", "before")).alias("first")).select("anchor", "first.*")
-    several = kinds.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("mixed"))
-    told = kinds.join(several, "anchor")
-    return told.groupBy("block").agg(F.collect_list(F.struct("word", "length", "before", "anchor", "mixed")).alias("firsts"))
+    kinds = each.groupBy("anchor", "run1", "run2").agg(F.min(F.struct("rank", "block", "word", "length")).alias("first")).select("anchor", "first.*")
+    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    total = runs.agg(F.sum(F.size("anchor"))).first()[0] or 0
+    hot = max(HOT, total // 1000)
+    told = kinds.join(F.broadcast(several.where(F.col("kinds") > hot).select("anchor", F.lit(True).alias("hot"))), "anchor", "left")
+    cold = told.where("hot IS NULL").join(several.where(F.col("kinds") <= hot), "anchor").withColumn("mixed", F.col("kinds") > 1)
+    out = cold.select("block", "word", "length", "anchor", "mixed").unionByName(told.where("hot").select("block", "word", "length", "anchor", F.lit(True).alias("mixed")))
+    return out.groupBy("block").agg(F.collect_list(F.struct("word", "length", "anchor", "mixed")).alias("firsts"))
 
 
 def _windows(blocks: DataFrame, firsts: DataFrame) -> DataFrame:
-    """A row for each window of the first runs of their kind whose anchor has several kinds: anchor, window (a hash),
-    rank, block, word."""
+    """A row for each window of the first runs of their kind whose anchor has several kinds: anchor, window1 and
+    window2 (a digest), rank, block, word."""
     mixed = firsts.select("block", F.filter("firsts", lambda x: x["mixed"]).alias("f")).where(F.size("f") > 0)
-    joined = blocks.join(mixed, "block").select("block", "body", "f.word", "f.length", "f.before", "f.anchor")
+    joined = blocks.join(mixed, "block").select("block", "body", "f.word", "f.length", "f.anchor")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, block, ids, b in _bodies(batch):
-                word, length, before, anchor = (_numbers(batch, k, row) for k in range(2, 6))
-                k = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-                at = np.repeat(word, length) + k
-                # A window is at the same place before its anchor wherever it occurs.
-                window = W.mix(_hashes(b)(at, at + WINDOW) + (np.repeat(before, length) - k).astype(W.U))
-                rank = ids.fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)[np.searchsorted(b.first, at, "right") - 1]
-                columns = [np.repeat(anchor, length), window.astype(np.int64), rank, np.full(len(at), block), at.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "window", "rank", "block", "word"])
+                word, length, anchor = (_numbers(batch, k, row) for k in range(2, 5))
+                at = np.repeat(word, length) + np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+                window = Joined(b).digests(at, WINDOW)
+                columns = [np.repeat(anchor, length), window[:, 0], window[:, 1], _ranks(ids, b, at), np.full(len(at), block), at.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "window1", "window2", "rank", "block", "word"])
 
-    return joined.mapInArrow(each, "anchor long, window long, rank long, block long, word int")
+    return joined.mapInArrow(each, "anchor long, window1 long, window2 long, rank long, block long, word int")
 
 
 def _stay(windows: DataFrame) -> DataFrame:
     """block, stay: for each block the words where windows begin that are the first of their kind."""
-    least = windows.groupBy("anchor", "window").agg(F.min(F.struct("rank", "block", "word")).alias("first"))
+    least = windows.groupBy("anchor", "window1", "window2").agg(F.min(F.struct("rank", "block", "word")).alias("first"))
     return least.groupBy("first.block").agg(F.collect_list("first.word").alias("stay"))
 
 

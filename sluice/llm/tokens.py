@@ -3,12 +3,18 @@
 A byte-level BPE encoding with this vocabulary's pattern never crosses the place before a space that is followed by
 anything but white space, nor either end of other white space before a word, nor the place between an ASCII letter and
 a mark. Texts are cut there; the distinct pieces are encoded by the library, kept while the task runs, and put together
-by look-up. Texts with white space outside ASCII, where that rule has exceptions, go to the library whole.
+by look-up. Texts with white space outside ASCII, where that rule has exceptions, go to the library whole. So do all
+texts where the vocabulary has another pattern than the one that the rule was made for, see CUTS_HOLD.
+
+A piece is looked up by a hash, and its bytes are then compared with those that were encoded; a text with a piece whose
+bytes differ goes to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -17,6 +23,10 @@ from sluice.llm import words as W
 
 #: Distinct pieces that a task keeps before it starts anew.
 KEEP = 600_000
+#: How texts are split by the vocabularies for which the cuts were worked out; there must be no normaliser either.
+CUTS_HOLD = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+#: Bytes of texts that the library is given at a time.
+TOGETHER = 1 << 20
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -59,27 +69,40 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their names in a text are ordinary text
         self.keep = keep
+        how = json.loads(self.library.to_str())
+        split = how["pre_tokenizer"] or {}
+        self.cuts_hold = how["normalizer"] is None and how["model"]["type"] == "BPE" and all(split.get(k) == v for k, v in CUTS_HOLD.items())
         names = self.library.get_vocab(with_added_tokens=False)
         self.spaced = np.zeros(max(names.values()) + 1, bool)
         self.spaced[[i for name, i in names.items() if name.startswith("\u0120")]] = True  # how the library writes a space
-        #: Bytes of each id's piece of text: names have one character a byte.
-        self.sizes = np.zeros(len(self.spaced), np.int64)
-        self.sizes[list(names.values())] = [len(name) for name in names]
         self.forget()
 
     def forget(self) -> None:
         self.known, self.slot = np.zeros(0, W.U), np.zeros(0, np.int64)  # hashes, ascending, and the place of each
         self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.text, self.text_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # the pieces' own bytes
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def spans(self, b: W.Block) -> Iterator[np.ndarray]:
+        """For each text of a block, encoded whole, the characters where its tokens begin and end, as the library
+        gives them."""
+        raw, held, size = b.data.tobytes(), [], 0
+        for row, (i, j) in enumerate(zip(b.offsets[:-1].tolist(), b.offsets[1:].tolist())):
+            held.append(raw[i:j].decode())
+            size += j - i
+            if size >= TOGETHER or row + 1 == len(b):
+                for e in self.library.encode_batch(held, add_special_tokens=False):
+                    yield np.array(e.offsets, np.int64).reshape(-1, 2)
+                held, size = [], 0
+
     def encode(self, b: W.Block) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a block, one after another, and how many each has."""
-        starts, ends = _cuts(b)
+        starts, ends = _cuts(b) if self.cuts_hold else (np.zeros(0, np.int64),) * 2
         owner = np.searchsorted(b.offsets, starts, "right") - 1
-        odd = np.unique(np.searchsorted(b.offsets, _odd(b.data), "right") - 1)
-        ids, lengths = self._looked_up(b.data, starts, ends)
+        ids, lengths, differ = self._looked_up(b.data, starts, ends)
+        odd = np.unique(np.concatenate([np.searchsorted(b.offsets, _odd(b.data), "right") - 1, owner[differ]])) if self.cuts_hold else np.arange(len(b))
         counts = np.bincount(owner, lengths, len(b)).astype(np.int64)
         if not len(odd):
             return ids, counts
@@ -89,10 +112,11 @@ class Encoder:
             parts[row], counts[row] = own, len(own)
         return np.concatenate(parts), counts
 
-    def _looked_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _looked_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all pieces, how many each has, and which pieces are not those that the ids were made of."""
         if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        h = W.mix(W.Prefix(data.astype(W.U) + W.U(1), W._BASE).of(starts, ends) ^ (ends - starts).astype(W.U))
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        h = self._hashes(data, starts, ends)
         distinct, where, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) > self.keep:
             self.forget()
@@ -105,7 +129,22 @@ class Encoder:
         slots = self.slot[at][inverse]
         lengths = self.at[slots + 1] - self.at[slots]
         first = np.cumsum(lengths) - lengths
-        return self.flat[np.repeat(self.at[slots] - first, lengths) + np.arange(int(lengths.sum()))], lengths
+        ids = self.flat[np.repeat(self.at[slots] - first, lengths) + np.arange(int(lengths.sum()))]
+        return ids, lengths, self._differing(data, starts, ends, slots)
+
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return W.span_hashes(data, starts, ends)
+
+    def _differing(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Which pieces have other bytes than the ones in their slots."""
+        size, begin = ends - starts, self.text_at[slots]
+        wrong = size != self.text_at[slots + 1] - begin
+        size = np.where(wrong, 0, size)
+        till = np.cumsum(size)
+        k = np.arange(int(till[-1])) - np.repeat(till - size, size)
+        bad = np.flatnonzero(self.text[np.repeat(begin, size) + k] != data[np.repeat(starts, size) + k])
+        wrong[np.searchsorted(till, bad, "right")] = True
+        return np.flatnonzero(wrong)
 
     def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
         """Encodes pieces. Those that are a space and a word are encoded in one text: each begins with the one id
@@ -127,6 +166,8 @@ class Encoder:
         slots = len(self.at) - 1 + np.arange(len(order))
         self.flat = np.concatenate([self.flat, ids])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join(pieces), np.uint8)])
+        self.text_at = np.concatenate([self.text_at, self.text_at[-1] + np.cumsum([len(x) for x in pieces])])
         known, slot = np.concatenate([self.known, hashes[order]]), np.concatenate([self.slot, slots])
         by = np.argsort(known, kind="stable")
         self.known, self.slot = known[by], slot[by]

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of words in `[^\x20\x09-\x0D]+`.
 NOT_SPACE = np.ones(256, bool)
@@ -25,8 +26,13 @@ LOWER[0x41:0x5B] += 32
 BLOCK = 1 << 21
 
 U = np.uint64
-_BASE, _GRAM = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
-_BASE2, _GRAM2 = 0xC2B2AE3D27D4EB4F | 1, 0xA0761D6478BD642F | 1
+#: Seeds of the two families of hashes, and what joins two of them; the factors are 1 modulo 4.
+_SEEDS = (U(0x2545F4914F6CDD1D), U(0xC2B2AE3D27D4EB4F))
+_JOINS = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
+#: By how many bytes are left, those of the next eight that count.
+_LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+#: Bytes of a word after which the rest is hashed alone.
+LONG_WORD = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,38 +45,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: dict[int, np.ndarray] = {}
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """A number of 64 bits for the bytes of each span, eight of them mixed in at a time.
 
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(12, int(n).bit_length())
-        have = np.full(size, base & 0xFFFFFFFFFFFFFFFF, U)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if n > 1 << 23:  # a very long text: use it, do not keep it
-            return have
-        _powers[base] = have
-    return have
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
-
-
-class Prefix:
-    """Hashes of any run of a sequence of numbers in constant time, by prefix sums."""
-
-    def __init__(self, values: np.ndarray, base: int):
-        n = len(values)
-        self.sums = np.zeros(n + 1, U)
-        np.cumsum(values * powers(base, n + 1)[:n], out=self.sums[1:])
-        self.back = powers(inverse(base), n + 1)
-
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return (self.sums[ends] - self.sums[starts]) * self.back[starts]
+    No step is linear in the bytes, so no pattern of letters cancels out, as it does in a polynomial modulo a power
+    of two.
+    """
+    seed = _SEEDS[second]
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    length = ends - starts
+    out = mix(length.astype(U) + seed)
+    out = mix(out ^ (eight[starts] & _LEFT[np.minimum(length, 8)]))
+    at, k = np.flatnonzero(length > 8), 8
+    while len(at):
+        if k >= LONG_WORD:
+            raw = memoryview(padded)
+            rest = [xxhash.xxh3_64_intdigest(raw[i:j], int(seed)) for i, j in zip((starts[at] + k).tolist(), ends[at].tolist())]
+            out[at] = mix(out[at] ^ np.array(rest, U))
+            break
+        out[at] = mix(out[at] ^ (eight[starts[at] + k] & _LEFT[np.minimum(length[at] - k, 8)]))
+        k += 8
+        at = at[length[at] > k]
+    return out
 
 
 class Block:
@@ -103,8 +100,7 @@ class Block:
 
     def hashes(self, second: bool = False) -> np.ndarray:
         """A number of 64 bits for each word; the second kind is independent of the first."""
-        p = Prefix(self.data.astype(U) + U(1), _BASE2 if second else _BASE)
-        return mix(p.of(self.starts, self.ends) ^ (self.ends - self.starts).astype(U))
+        return span_hashes(self.data, self.starts, self.ends, second)
 
     def words_left(self) -> np.ndarray:
         """For each word, how many words its text has from there on."""
@@ -116,9 +112,23 @@ class Block:
 
 
 def grams(hashes: np.ndarray, n: int, second: bool = False) -> np.ndarray:
-    """A number for each run of n words; runs over the edge of a text must be left out by the caller."""
-    at = np.arange(max(0, len(hashes) - n + 1))
-    return mix(Prefix(hashes, _GRAM2 if second else _GRAM).of(at, at + n) + U(n))
+    """A number for each run of n words; runs over the edge of a text must be left out by the caller.
+
+    Runs of 1, 2, 4, ... words are joined from two halves, and what n is made of is joined from left to right.
+    """
+    m, join = len(hashes) - n + 1, _JOINS[second]
+    if m <= 0:
+        return np.zeros(0, U)
+    out, covered, half, width = None, 0, hashes, 1
+    while True:
+        if n & width:
+            own = half[covered : covered + m]
+            out = own if out is None else mix(out * join + own)
+            covered += width
+        if covered == n:
+            return mix(out + U(n))
+        half = mix(half[:-width] * join + half[width:])
+        width *= 2
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
