@@ -13,17 +13,25 @@ Linking, in steps that each move little and never gather an unbounded group:
 1. Equal sets (by size and a 128-bit hash) stand for one: the smallest doc_id. All below is about such classes.
 2. Buckets are counted by hash; those with one class go. Buckets with the same members (by count and a hash of the
    members) are one.
-3. What is left joins the classes' sets. A bucket of over BLOCK classes is dealt into blocks of about BLOCK classes,
-   and every pair of blocks meets in a group of its own, so that a group stays small and all pairs are covered.
+3. What is left joins the classes' sets. A bucket of over 2 * BLOCK classes is dealt into parts of about BLOCK classes,
+   with the bucket's least class in each. A class is sent once for each of its buckets, so this grows with the number
+   of classes, not with the square of a bucket's.
 4. In a group, pairs whose signatures agree enough are taken from the most alike down; a pair that is not yet
    connected is confirmed on the full sets, and if linked becomes an edge. A group of n classes yields n - 1 edges at
    most, whatever the number of its pairs. The agreement asked for (min_agree(), 50 coordinates of 80 at 0.85) is
    missed by a pair at the least overlap with probability MISS at most.
 5. Components are found by passing the smallest id along edges and shortcutting, until nothing changes.
+6. Large buckets whose classes are all in one component by now, as those of many near copies, are done. The others'
+   classes meet in another way that misses no link: shingles are put in the order of the number of these classes that
+   have them, and of two linked sets the first (1 - overlap) of each, and one more, share a shingle. Texts that share
+   what all have, and no more, share none of these. Where so rare a shingle is still in classes of several components,
+   they meet in groups as in 4, in which every two blocks of BLOCK classes come together.
 
 Defined cases. Null and empty texts have n_shingles 0 and are their own component. Repeated rows and equal texts are
 in one component; rows that share a doc_id count as that document, each keeps its own n_shingles. A null doc_id is
-left alone and kept, with a null component. An empty table gives an empty result. Only the named columns are read.
+left alone and kept, with a null component. A very long text is one row of 8 bytes a word wherever its set is sent, and
+is worked on whole. An empty table gives an empty result. Only the named columns are read, whatever the others are
+called.
 """
 
 from __future__ import annotations
@@ -45,7 +53,7 @@ COORDS = BANDS * ROWS
 RATIO = (85, 100)
 #: How likely a pair at the least overlap may be missed for too few equal coordinates.
 MISS = 5e-7
-#: About as many classes meet in one half of a group.
+#: About as many classes of a larger bucket meet in one group, or in one half of it.
 BLOCK = 256
 
 V = np.uint32
@@ -143,20 +151,22 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """doc_id, buckets: for each class that shares a bucket with another, struct(bucket, size) of those it is in."""
+    """doc_id, buckets: for each class that shares a bucket with another, struct(bucket, size, head) of those it is in;
+    head is the bucket's least class."""
     rows = classes.select("doc_id", F.explode("bands").alias("bucket"))
     member = F.xxhash64("doc_id")
-    by_bucket = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum(F.shiftrightunsigned(member, 20)).alias("m1"), F.bit_xor(member).alias("m2"))
-    distinct = by_bucket.where("size > 1").groupBy("size", "m1", "m2").agg(F.min("bucket").alias("bucket"))
-    kept = rows.join(distinct.select("bucket", "size"), "bucket")
-    return kept.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "size")).alias("buckets"))  # BANDS at most
+    by_bucket = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("head"), F.sum(F.shiftrightunsigned(member, 20)).alias("m1"), F.bit_xor(member).alias("m2"))
+    distinct = by_bucket.where("size > 1").groupBy("size", "head", "m1", "m2").agg(F.min("bucket").alias("bucket"))
+    kept = rows.join(distinct.select("bucket", "size", "head"), "bucket")
+    return kept.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "size", "head")).alias("buckets"))  # BANDS at most
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """wanted (doc_id, sig, buckets) with the document's shingles as bytes; a doc_id is taken once."""
+    """wanted (doc_id, set1, set2, sig, more) with the document's shingles as bytes; of rows that share a doc_id those
+    with the class's own set."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    joined = texts.join(wanted, "doc_id").select("doc_id", "set1", "set2", "sig", "buckets", "text")
-    schema = "doc_id long, sig binary, buckets array<struct<bucket:long,size:long>>, shingles binary"
+    joined = texts.join(wanted, "doc_id").select("doc_id", "set1", "set2", "sig", "more", "text")
+    schema = f"doc_id long, sig binary, more {wanted.schema['more'].dataType.simpleString()}, shingles binary"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,12 +178,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
                 for k in np.flatnonzero(n).tolist():
                     own = g[first[k] : first[k] + n[k]]
                     row = b.rows[0] + k
-                    # among rows with one doc_id only the class's own text counts
                     if np.add.reduce(W.mix(own ^ W.U(0x5851F42D4C957F2D))).astype(np.int64) == s1[row] and np.add.reduce(W.mix(own + W.U(0x14057B7EF767814F))).astype(np.int64) == s2[row]:
                         rows.append(row)
                         out.append(own.tobytes())
                 at = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(3).take(at), batch.column(4).take(at), pa.array(out, pa.binary())], ["doc_id", "sig", "buckets", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(3).take(at), batch.column(4).take(at), pa.array(out, pa.binary())], ["doc_id", "sig", "more", "shingles"])
 
     return joined.mapInArrow(each, schema)
 
@@ -231,15 +240,30 @@ def _meet(ids: list, sigs: list, sets: list, half: list, ratio: tuple[int, int])
     return spanning_links(ids, sigs, sets, np.flatnonzero(half == half.min()), np.flatnonzero(half == half.max()), ratio)
 
 
-def links(sets: DataFrame, block: int = BLOCK, ratio: tuple[int, int] = RATIO) -> DataFrame:
-    """Edges (a, b) between classes that connect all that links connect.
+def parted(sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Groups of sets (doc_id, sig, more: buckets, shingles): buckets, or parts of about `block` classes of a larger one
+    and its head. A class is in as many groups as it has buckets, a head in all parts of its own."""
+    rows = sets.select("doc_id", "sig", "shingles", F.explode("more").alias("in")).select("doc_id", "sig", "shingles", "in.*")
+    parts = F.when(F.col("size") > 2 * block, F.ceil(F.col("size") / block)).otherwise(1).cast("long")
+    every = F.sequence(F.lit(0).cast("long"), parts - 1)
+    one = F.array(F.pmod(F.xxhash64("doc_id", "bucket"), parts))
+    rows = rows.withColumn("i", F.explode(F.when(F.col("doc_id") == F.col("head"), every).otherwise(one)))
+    return rows.select("bucket", "i", F.col("i").alias("j"), F.col("i").alias("half"), "doc_id", "sig", "shingles")
+
+
+def paired(sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Groups in which every two classes of a bucket (more: buckets) meet: of two blocks each if it is larger."""
+    rows = sets.select("doc_id", "sig", "shingles", F.explode("more").alias("in")).select("doc_id", "sig", "shingles", "in.bucket", F.ceil(F.col("in.size") / block).cast("long").alias("blocks"))
+    rows = rows.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.select("bucket", F.least("half", "with").alias("i"), F.greatest("half", "with").alias("j"), "half", "doc_id", "sig", "shingles")
+
+
+def links(groups: DataFrame, ratio: tuple[int, int] = RATIO) -> DataFrame:
+    """Edges (a, b) between classes that connect all that links within groups (bucket, i, j) connect.
 
     Rows come sorted by group, and a group has about two blocks of rows, so a group is held while it streams by.
     """
-    rows = sets.select("doc_id", "sig", "shingles", F.explode("buckets").alias("in")).select("doc_id", "sig", "shingles", "in.bucket", F.ceil(F.col("in.size") / block).cast("long").alias("blocks"))
-    rows = rows.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     key = ["bucket", "i", "j"]
-    rows = rows.select("bucket", F.least("half", "with").alias("i"), F.greatest("half", "with").alias("j"), "half", "doc_id", "sig", "shingles")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group = None, ([], [], [], [])
@@ -257,7 +281,7 @@ def links(sets: DataFrame, block: int = BLOCK, ratio: tuple[int, int] = RATIO) -
         _close(at, group, a, b, ratio)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(each, "a long, b long")
+    return groups.repartition(*key).sortWithinPartitions(*key).mapInArrow(each, "a long, b long")
 
 
 def _close(at: list | None, group: tuple, a: list, b: list, ratio: tuple[int, int]) -> None:
@@ -270,7 +294,7 @@ def _close(at: list | None, group: tuple, a: list, b: list, ratio: tuple[int, in
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """doc_id, component_id for every end of an edge: the smallest id that it is connected with.
+    """doc_id, component_id for every end of an edge but the smallest of its component: that smallest id.
 
     Rounds of two steps on edges from larger to smaller ids: every vertex sends all its larger neighbours to its
     least neighbour, then every vertex sends all its smaller neighbours to the least of them. A star around each
@@ -283,7 +307,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         found = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
         if (found["n"], found["h"]) == state or not found["n"]:
-            return now.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id"))
+            out = now.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id"))
+            out.stored_at = now.stored_at
+            return out
         state = (found["n"], found["h"])
         # large star: larger neighbours of u go to the least of u and its neighbours
         ways = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -296,34 +322,82 @@ def components(edges: DataFrame) -> DataFrame:
         drop_folder(last.sparkSession, last.stored_at)
 
 
+def _unsettled(buckets: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """doc_id, component_id of the classes in large buckets whose classes are in several components."""
+    rows = buckets.select("doc_id", F.explode("buckets").alias("in")).where(F.col("in.size") > 2 * block).select("doc_id", "in.bucket")
+    rows = rows.join(found, "doc_id", "left").select("doc_id", "bucket", F.coalesce("component_id", "doc_id").alias("component_id"))
+    several = rows.groupBy("bucket").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo != hi")
+    return rows.join(several.select("bucket"), "bucket", "left_semi").select("doc_id", "component_id").distinct()
+
+
+def rare_shingles(sets: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+    """doc_id, buckets: struct(bucket: a shingle, size: how many classes meet there) for each set (doc_id, more: its
+    component, shingles). Any two sets that overlap by ratio and are in different components meet."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, component, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                g = np.frombuffer(own.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), doc)), pa.array(np.full(len(g), component)), pa.array(np.full(len(g), len(g))), pa.array(g)], ["doc_id", "component_id", "n", "shingle"])
+
+    num, den = ratio
+    rows = sets.select("doc_id", F.col("more").alias("component_id"), "shingles").mapInArrow(each, "doc_id long, component_id long, n long, shingle long")
+    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("df > 1")
+    shared = rows.join(held, "shingle").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle", (F.col("lo") != F.col("hi")).alias("open")))).alias("held"))
+    # Shingles of one class come first; what is left of the prefix is filled with the rarest of the others.
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.size("held"))
+    first = F.filter(F.slice("held", 1, F.greatest(prefix, F.lit(0)).cast("int")), lambda x: x["open"])
+    first = shared.select("doc_id", F.explode(first).alias("first")).select("doc_id", F.col("first.shingle").alias("bucket"))
+    sizes = first.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return first.join(sizes, "bucket").groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "size")).alias("buckets"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, ratio: tuple[int, int] = RATIO) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept (doc_id = component_id). ratio is the least overlap."""
+    """Per row of docs: doc_id, n_shingles, component_id, kept (doc_id = component_id). ratio is the least overlap.
+
+    The result is stored; all tables that led to it are dropped.
+    """
+    spark = docs.sparkSession
+    same = ["n_shingles", "set1", "set2"]
     rows = stored(sketches(docs, id_col, text_col), "sketches")
     own = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = ["n_shingles", "set1", "set2"]
-    classes = own.groupBy(*same).agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("copies"))
     # A class's first member brings the signature; equal sets have equal ones.
-    firsts = own.groupBy(*same).agg(F.min_by(F.struct("doc_id", "sig", "bands"), "doc_id").alias("x")).select(*same, "x.*")
-    wanted = _buckets(firsts)
-    meet = own.select("doc_id", "set1", "set2", "sig").join(wanted, "doc_id").dropDuplicates(["doc_id", "set1", "set2"])
-    edges = links(_sets(docs, meet, id_col, text_col), block, ratio)
+    first = F.min_by(F.struct("doc_id", "sig", "bands"), "doc_id").alias("x")
+    classes = stored(own.groupBy(*same).agg(first, F.count(F.lit(1)).alias("copies")).select(*same, "copies", "x.*"), "classes")
+    buckets = stored(_buckets(classes), "buckets")
+    meet = classes.select("doc_id", "set1", "set2", "sig").join(buckets.withColumnRenamed("buckets", "more"), "doc_id")
+    edges = links(parted(_sets(docs, meet, id_col, text_col), block), ratio)
     # members of a class, and rows that share a doc_id, hang on the class's first
-    copies = own.select("doc_id", *same).join(classes.where("copies > 1"), same).select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
+    copies = own.select("doc_id", *same).join(classes.where("copies > 1").select(F.col("doc_id").alias("b"), *same), same).select(F.col("doc_id").alias("a"), "b")
     found = components(edges.unionByName(copies))
-    found = found.select(F.col("doc_id").alias("d"), "component_id")
-    out = rows.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("d"), "left")
+    used = [rows, classes, buckets, found]
+    if buckets.where(F.exists("buckets", lambda x: x["size"] > 2 * block)).limit(1).count():
+        left = stored(_unsettled(buckets, found, block), "unsettled")
+        meet = classes.select("doc_id", "set1", "set2", "sig").join(left.withColumnRenamed("component_id", "more"), "doc_id")
+        sets = stored(_sets(docs, meet, id_col, text_col), "unsettled-sets")
+        rare = stored(rare_shingles(sets, ratio), "rare")
+        more = links(paired(sets.drop("more").join(rare.withColumnRenamed("buckets", "more"), "doc_id"), block), ratio)
+        found = components(found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(more))
+        used += [left, sets, rare, found]
+    of = found.select(F.col("doc_id").alias("d"), "component_id")
+    out = rows.select("doc_id", "n_shingles").join(of, F.col("doc_id") == F.col("d"), "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = stored(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "components")
+    for x in used:
+        drop_folder(spark, x.stored_at)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio: tuple[int, int] = RATIO) -> DataFrame:
-    """docs, all columns, one document of each component; of rows that share a kept doc_id one stays.
-
-    Rows without a doc_id stay.
-    """
-    kept = near_duplicates(docs, id_col, text_col, ratio=ratio).where("kept").select(F.col("doc_id").alias("__kept"))
-    out = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return out.unionByName(docs.where(F.col(id_col).isNull()))
+    """docs, all columns, one document of each component; of rows that share a kept doc_id the one whose columns have
+    the least hash stays. Rows without a doc_id stay. Texts are dealt once, by doc_id, to meet what is kept."""
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    keyed = docs.withColumn("__row", F.xxhash64(*hashed))
+    kept = near_duplicates(docs, id_col, text_col, ratio=ratio).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    least = keyed.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min("__row").alias("__least"))
+    kept = kept.join(least, F.col("__kept") == F.col("__id")).select("__kept", "__least")
+    out = keyed.join(kept, (F.col(id_col) == F.col("__kept")) & (F.col("__row") == F.col("__least")), "left_semi").dropDuplicates([id_col, "__row"])
+    return out.drop("__row").unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

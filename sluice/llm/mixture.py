@@ -7,14 +7,18 @@ order of an exponential key, -ln(u) / weight, so that heavier documents tend to
 that reruns agree. A document is in while the words before it and half its own fit in the fraction; the words taken
 thus differ from the target by half a document at most.
 
-The order within a source is found without sorting any source in one place: keys are cut into ranges of about
-RANGE_ROWS documents by the distribution function of the key, ranges' sums are added up within the source, and only
-a range is sorted.
+The documents of a source that are in are the first ones in the order (key, doc_id, size), so a source comes down to
+one cut. It is found on narrow rows, stored once, without sorting any source in one place: the span of keys that holds
+the cut is divided into BINS equal spans, whose sums say which of them holds it, again and again until that span has
+RANGE_ROWS documents at most, or one key. Only these are sorted, equal rows as one with their number. Each document is
+then held against its source's cut where it lies; a text is never moved to be weighed or ordered.
 
 Defined cases. Null or empty text has size 0; such a document is taken 0 words. A null source is a source of its own,
 the last. Rows with the same doc_id are ordered by size, and are otherwise alike: among equal rows it does not matter
-which is taken, and as many are taken. An empty table gives an empty result. A weight that is null or not above 0
-counts as 1. Columns beyond those named are not looked at by mix() and are kept by sample().
+which is taken, and as many are taken; those that equal the cut are numbered in one task a source. An empty table gives an
+empty result. A weight that is null or not above 0 counts as 1. A very long text counts with all its words; its source's
+taken words may then miss the target by half of it. Columns beyond those named are not looked at by mix() and are kept
+by sample(), whatever their names.
 """
 
 from __future__ import annotations
@@ -23,14 +27,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import table
+from sluice.llm.shared import drop_folder, stored, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
-#: About as many documents are sorted together.
-RANGE_ROWS = 50_000
-#: The same where whole documents travel with their keys.
-SAMPLE_ROWS = 4_000
+#: As many documents of a source are sorted together at most, and into how many spans a wider span is divided.
+RANGE_ROWS, BINS = 50_000, 1024
+#: Sources, and documents with weights of their own, that are broadcast to the documents at most. More are joined by
+#: a shuffle.
+SENT_SOURCES, SENT_WEIGHTS = 100_000, 500_000
 #: Weights of documents by their quality label; without a label 1.
 QUALITY = {1: 2.0, 0: 0.5}
 
@@ -74,35 +79,81 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, share: float = SHARE,
 
     quality: doc_id and weight, one row an id; documents without one weigh 1.
     """
-    rows = docs.select("doc_id", "source", words("text").alias("size"))
-    return _taken(rows, quality, share, most, range_rows)
+    rows = _keyed(docs, quality)
+    plan = _plan(rows, share, most, range_rows)
+    out = _counted(_beside(rows, plan, "source"), plan, F.struct("key", "doc_id", "size"), "doc_id", "source", "size", "source_size", "target", "epochs")
+    return out.select("doc_id", "source", "size", "source_size", "target", ((F.col("epochs") + F.col("more")) * F.col("size")).cast("long").alias("taken"))
+
 
+def _key(doc_id: Column | str, weight: Column) -> Column:
+    return -F.log(uniform(doc_id)) / F.when(weight > 0, weight).otherwise(1.0)
 
-def _taken(rows: DataFrame, quality: DataFrame | None, share: float, most: int, range_rows: int) -> DataFrame:
+
+def _keyed(docs: DataFrame, quality: DataFrame | None) -> DataFrame:
+    """doc_id, source, size, key of all documents, stored: texts are read and their words counted once."""
+    rows = docs.select("doc_id", "source", words("text").alias("size"))
     if quality is None:
-        rows = rows.withColumn("weight", F.lit(1.0))
-    else:
-        rows = rows.join(quality.select("doc_id", "weight"), "doc_id", "left")
-    weight = F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0)
-    u = uniform("doc_id")
-    # The key's distribution function at weight 1 is 1 - exp(-key), which is 1 - u ** (1 / weight).
-    rows = rows.withColumn("key", -F.log(u) / weight)
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    plan = targets(sources, share=share, most=most)
-    plan = plan.withColumn("ranges", F.ceil(F.col("n") / range_rows)).withColumn("epochs", F.floor(F.col("target") / F.greatest("source_size", F.lit(1))))
-    plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "s")
-    # One row a source: Spark broadcasts it while it is small, and deals the documents otherwise.
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rows = rows.withColumn("range", F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("ranges")), F.col("ranges") - 1))
-    in_range = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
-    sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("in_range").over(earlier), F.lit(0)).alias("base"))
-    rows = rows.withColumn("ahead", F.coalesce(F.sum("size").over(in_range), F.lit(0)))
-    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-    more = F.when(F.col("base") + F.col("ahead") + F.col("size") / 2 <= F.col("rest"), 1).otherwise(0)
-    kept = [c for c in ("row",) if c in rows.columns]
-    return rows.select(*kept, "doc_id", "source", "size", "source_size", "target", ((F.col("epochs") + more) * F.col("size")).cast("long").alias("taken"))
+        return stored(rows.withColumn("key", _key("doc_id", F.lit(1.0))), "mix")
+    rows = rows.join(quality.select("doc_id", "weight"), "doc_id", "left")
+    return stored(rows.select("doc_id", "source", "size", _key("doc_id", F.col("weight")).alias("key")), "mix")
+
+
+def _plan(rows: DataFrame, share: float, most: int, range_rows: int) -> DataFrame:
+    """A row a source: s (the source), source_size, target, epochs, and the cut: cut (key, doc_id, size; null if all
+    are in) and copies, how many of the rows that equal the cut are in."""
+    each = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    plan = targets(each.select("source", "source_size", "n"), share=share, most=most)
+    plan = plan.withColumn("epochs", F.floor(F.col("target") / F.greatest("source_size", F.lit(1))))
+    plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    spans = each.select(F.col("source").alias("e"), "lo", "hi", F.lit(0).cast("long").alias("base"))
+    plan = stored(plan.join(spans, F.col("source").eqNullSafe(F.col("e"))).select(F.col("source").alias("s"), "source_size", "n", "target", "epochs", "rest", "lo", "hi", "base"), "mix-plan")
+    sources = plan.count()
+    while plan.where((F.col("n") > range_rows) & (F.col("lo") < F.col("hi"))).limit(1).count():
+        plan = stored(_narrowed(rows, plan, range_rows, sources), "mix-plan")
+    inside = _beside(rows, plan, "source", sources).where(F.col("key").between(F.col("lo"), F.col("hi")))
+    equal = inside.groupBy("s", "key", "doc_id", "size").agg(F.count(F.lit(1)).alias("rows"), F.first("base").alias("base"), F.first("rest").alias("rest"))
+    before = Window.partitionBy("s").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("rest") - (F.col("base") + F.coalesce(F.sum(F.col("size") * F.col("rows")).over(before), F.lit(0)) + F.col("size") / 2)
+    # Of equal rows those whose half is reached by what is left; a row without words is in while anything is left.
+    fit = F.when(room < 0, 0).when(F.col("size") == 0, F.col("rows")).otherwise(F.least(F.floor(room / F.greatest("size", F.lit(1))) + 1, "rows"))
+    cuts = equal.withColumn("copies", fit.cast("long")).where("copies < rows").groupBy("s").agg(F.min(F.struct(F.struct("key", "doc_id", "size").alias("cut"), "copies")).alias("c"))
+    cuts = cuts.select(F.col("s").alias("k"), "c.cut", "c.copies")
+    return stored(plan.join(cuts, F.col("s").eqNullSafe(F.col("k")), "left").select("s", "source_size", "target", "epochs", "cut", "copies"), "mix-cuts")
+
+
+def _narrowed(rows: DataFrame, plan: DataFrame, range_rows: int, sources: int) -> DataFrame:
+    """plan with the span of keys (lo to hi) of each source that has too many documents in it narrowed to the one of
+    its BINS parts in which the cut lies; n and base are those of that part."""
+    wide = plan.where((F.col("n") > range_rows) & (F.col("lo") < F.col("hi")))
+    inside = _beside(rows, wide.select("s", "lo", "hi", "base", "rest"), "source", sources).where(F.col("key").between(F.col("lo"), F.col("hi")))
+    part = F.least(F.floor((F.col("key") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))
+    sums = inside.groupBy("s", part.alias("part")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("m"), F.min("key").alias("low"), F.max("key").alias("high"), F.first("base").alias("base"), F.first("rest").alias("rest"))
+    till = F.sum("words").over(Window.partitionBy("s").orderBy("part"))  # BINS rows a source
+    sums = sums.withColumn("till", F.col("base") + till).withColumn("last", F.max("part").over(Window.partitionBy("s")))
+    found = sums.where((F.col("till") > F.col("rest")) | (F.col("part") == F.col("last"))).groupBy("s").agg(F.min_by(F.struct("low", "high", "m", (F.col("till") - F.col("words")).alias("before")), "part").alias("f"))
+    joined = plan.join(found.select(F.col("s").alias("k"), "f"), F.col("s").eqNullSafe(F.col("k")), "left")
+    here = F.col("f").isNotNull()
+    return joined.select("s", "source_size", F.when(here, F.col("f.m")).otherwise(F.col("n")).alias("n"), "target", "epochs", "rest", F.when(here, F.col("f.low")).otherwise(F.col("lo")).alias("lo"), F.when(here, F.col("f.high")).otherwise(F.col("hi")).alias("hi"), F.when(here, F.col("f.before")).otherwise(F.col("base")).cast("long").alias("base"))
+
+
+def _beside(rows: DataFrame, plan: DataFrame, source: str, sources: int | None = None) -> DataFrame:
+    """Rows with their source's row of plan, which is broadcast if it has SENT_SOURCES rows at most."""
+    sources = plan.count() if sources is None else sources
+    plan = F.broadcast(plan) if sources <= SENT_SOURCES else plan.hint("shuffle_merge")
+    return rows.join(plan, F.col(source).eqNullSafe(F.col("s")))
+
+
+def _counted(rows: DataFrame, plan: DataFrame, place: Column, *columns: str) -> DataFrame:
+    """The columns of rows, which have their source's cut, and more: 1 if the row is in the fraction, else 0."""
+    rows = rows.withColumn("__place", place)
+    at_cut = F.col("__place") == F.col("cut")
+    single = F.when(F.col("cut").isNull() | (F.col("__place") < F.col("cut")), 1).otherwise(0)
+    if not plan.where("copies > 0").limit(1).count():  # no rows equal a cut and are to be told apart
+        return rows.select(*columns, single.alias("more"))
+    ties = F.coalesce(at_cut & (F.col("copies") > 0), F.lit(False))
+    some = rows.where(ties).withColumn("__n", F.row_number().over(Window.partitionBy("s").orderBy(F.lit(0))))
+    out = rows.where(~ties).select(*columns, single.alias("more"))
+    return out.unionByName(some.select(*columns, F.when(F.col("__n") <= F.col("copies"), 1).otherwise(0).alias("more")))
 
 
 def label_weights(labels: DataFrame) -> DataFrame:
@@ -114,16 +165,30 @@ def label_weights(labels: DataFrame) -> DataFrame:
     return best.select("doc_id", weight.alias("weight"))
 
 
-def sample(docs: DataFrame, quality: DataFrame | None = None, share: float = SHARE, most: int = MOST, range_rows: int = SAMPLE_ROWS) -> DataFrame:
+def sample(docs: DataFrame, quality: DataFrame | None = None, share: float = SHARE, most: int = MOST, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The mix itself: docs' columns, each document as many times as it is taken (0 to `most`).
 
-    The rows travel with their keys, so that texts are moved once for the weights and once for the ranges.
+    Documents are held against their source's cut where they lie. Only where more than SENT_WEIGHTS documents have
+    weights of their own, texts are dealt once, by doc_id, to bring the weights to them.
     """
+    narrow = _keyed(docs, quality)
+    plan = _plan(narrow, share, most, range_rows)
+    drop_folder(docs.sparkSession, narrow.stored_at)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(whole.alias("row")).select("row", "row.doc_id", "row.source", words("row.text").alias("size"))
-    taken = _taken(rows, quality, share, most, range_rows).where("taken > 0")
-    times = (F.col("taken") / F.col("size")).cast("int")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), times))).select("row.*")
+    rows = docs.select(whole.alias("row"))
+    if quality is None:
+        rows = rows.withColumn("__key", _key("row.doc_id", F.lit(1.0)))
+    else:
+        heavy = quality.where("weight > 0 AND weight != 1").select(F.col("doc_id").alias("__id"), "weight")
+        heavy = F.broadcast(heavy) if heavy.count() <= SENT_WEIGHTS else heavy.hint("shuffle_merge")
+        rows = rows.join(heavy, F.col("row.doc_id") == F.col("__id"), "left").select("row", _key("row.doc_id", F.col("weight")).alias("__key"))
+    rows = _beside(rows.where(F.col("row.text").rlike(r"[^\x20\x09-\x0D]")), plan, "row.source")
+    # Words are counted only where the key and the id do not tell the sides of the cut apart.
+    near = (F.col("__key") == F.col("cut.key")) & F.col("row.doc_id").eqNullSafe(F.col("cut.doc_id"))
+    place = F.struct(F.col("__key").alias("key"), F.col("row.doc_id").alias("doc_id"), F.when(near, words("row.text")).otherwise(F.lit(0)).cast("long").alias("size"))
+    times = (F.col("epochs") + F.col("more")).cast("int")
+    taken = _counted(rows, plan, place, "row", "epochs").select("row", times.alias("times")).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
