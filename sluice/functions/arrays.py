@@ -28,8 +28,8 @@ def cut(a: Column | str, start: int | None = None, stop: int | None = None) -> C
 
 
 def difference(a: Column | str, b: Column | str) -> Column:
-    """Elements of a that b has not; what stays keeps its repeats."""
-    return F.filter(_c(a), lambda x: ~F.array_contains(_c(b), x))
+    """Elements of a that b has not, null equal to null; what stays keeps its repeats."""
+    return F.filter(_c(a), lambda x: ~F.exists(_c(b), lambda y: y.eqNullSafe(x)))
 
 
 def sort_by(a: Column | str, key: Callable[[Column], Column]) -> Column:
@@ -69,10 +69,64 @@ def add(a: Column | str, start: Column) -> Column:
     return F.when(F.size(_c(a)) > 0, F.aggregate(_c(a), zero, lambda acc, x: plus(acc, x)))
 
 
-def running(a: Column | str, start: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """All states of a fold, one for each element."""
-    first = F.struct(start.alias("state"), F.array().cast(f"array<{'double'}>").alias("out"))
-    return F.aggregate(_c(a).cast("array<double>"), first, lambda acc, x: F.struct(step(acc["state"], x).alias("state"), F.concat(acc["out"], F.array(step(acc["state"], x))).alias("out")))["out"]
+def running(a: Column | str, start: Column, step: Callable[[Column, Column], Column], kind: str = "double") -> Column:
+    """All states of a fold, one for each element; kind is the type of states. The states so far are copied for every
+    element: for arrays of some hundreds. Longer ones are rows, see tables.running()."""
+    first = F.struct(start.cast(kind).alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def next_(acc: Column, x: Column) -> Column:
+        state = step(acc["state"], x).cast(kind)
+        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(state)).alias("out"))
+
+    return F.aggregate(_c(a), first, next_)["out"]
+
+
+def until(start: Column, stops: Callable[[Column], Column], step: Callable[[Column], Column], most: int = 1000) -> Column:
+    """The first state, from start on, at which it stops; an error if there is none in `most` steps."""
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, lambda acc, _: F.when(stops(acc), acc).otherwise(step(acc)))
+    return F.when(stops(out), out).otherwise(F.raise_error(F.lit(f"no end in {most} steps")))
+
+
+def while_(start: Column, goes_on: Callable[[Column], Column], step: Callable[[Column], Column], kind: str = "long", most: int = 1000) -> Column:
+    """The states, from start on, before the first at which it does not go on; an error if there are more than `most`."""
+    first = F.struct(start.cast(kind).alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def next_(acc: Column, _: Column) -> Column:
+        more = F.struct(step(acc["state"]).cast(kind).alias("state"), F.concat(acc["out"], F.array(acc["state"])).alias("out"))
+        return F.when(goes_on(acc["state"]), more).otherwise(acc)
+
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(most)), first, next_)
+    return F.when(~goes_on(out["state"]), out["out"]).otherwise(F.raise_error(F.lit(f"no end in {most} steps")))
+
+
+def indices(a: Column | str, part: Column) -> Column:
+    """Where an array begins in another, overlaps included; an empty one is nowhere."""
+    a, n = _c(a), F.size(part)
+    last = F.size(a) - n
+    at_ = F.when((last >= 0) & (n > 0), F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.filter(at_, lambda i: F.slice(a, i + 1, n) == part)
+
+
+def flatten_to(a: Column | str, depth: int) -> Column:
+    """An array of arrays of ... with `depth` levels put into their places."""
+    if depth < 0:
+        raise ValueError("flatten depth must not be negative")
+    out = _c(a)
+    for _ in range(depth):
+        out = F.flatten(out)
+    return out
+
+
+def product(*arrays: Column | str) -> Column:
+    """All combinations of an element of each array, as arrays, the last one varying first."""
+    out = F.transform(_c(arrays[0]), lambda x: F.array(x))
+
+    def longer(heads: Column, a: Column) -> Column:
+        return F.flatten(F.transform(heads, lambda head: F.transform(a, lambda x: F.concat(head, F.array(x)))))
+
+    for a in arrays[1:]:
+        out = longer(out, _c(a))
+    return out
 
 
 def numbers(start: Column | int, stop: Column | int, step: int = 1) -> Column:
@@ -151,5 +205,10 @@ def sort_keys(m: Column | str) -> Column:
 
 
 def alternative(*values: Column) -> Column:
-    """The first value that is neither null nor false."""
-    return F.coalesce(*[F.when(v.cast("string") != "false", v) for v in values[:-1]], values[-1])
+    """The first value that is neither null nor the boolean false."""
+    return F.coalesce(*[F.when(truthy(v), v) for v in values[:-1]], values[-1])
+
+
+def truthy(v: Column) -> Column:
+    """Whether a value is neither null nor the boolean false; a text is neither, whatever it says."""
+    return v.isNotNull() & ~((F.typeof(v) == "boolean") & F.coalesce(v.cast("string") == "false", F.lit(False)))

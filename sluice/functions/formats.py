@@ -70,10 +70,34 @@ def from_base64(s: Column | str) -> Column:
     return F.decode(F.unbase64(padded), "UTF-8")
 
 
-def digest(s: Column | str, algorithm: str = "sha256") -> Column:
-    """Lower-case hexadecimal digest: sha1, sha256, sha512 or md5."""
+def digest(s: Column | str, algorithm: str = "sha256", encoding: str = "hex") -> Column:
+    """The digest by sha1, sha256, sha512 or md5: lower-case hexadecimal, or base64."""
     of = {"sha1": F.sha1, "md5": F.md5, "sha256": lambda b: F.sha2(b, 256), "sha512": lambda b: F.sha2(b, 512)}
-    return of[algorithm](_c(s).cast("binary"))
+    out = of[algorithm](_c(s).cast("binary"))
+    return {"hex": lambda x: x, "base64": lambda x: F.replace(F.base64(F.unhex(x)), F.lit("\r\n"), F.lit(""))}[encoding](out)
+
+
+def text(value: Column | str) -> Column:
+    """A text as it is, anything else as JSON."""
+    value = _c(value)
+    return F.when(F.typeof(value) == "string", value.cast("string")).otherwise(F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", ""))
+
+
+def filled(kind: str, template: str, *values: Column | str) -> Column:
+    """A template whose {} are the values in a format: text, json, html, uri, sh or base64. What is around them stays."""
+    of = {"text": text, "json": lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", ""), "html": lambda x: html(text(x)), "uri": lambda x: uri(text(x)), "sh": lambda x: sh(text(x)), "base64": lambda x: base64(text(x))}[kind]
+    parts = template.split("{}")
+    if len(parts) != len(values) + 1:
+        raise ValueError("a template has as many {} as there are values")
+    out = [F.lit(parts[0])]
+    for value, part in zip(values, parts[1:]):
+        out += [of(_c(value)), F.lit(part)]
+    return F.concat(*out)
+
+
+def sh_words(values: Column | str) -> Column:
+    """The elements of an array as shell words between spaces."""
+    return F.array_join(F.transform(_c(values), sh), " ")
 
 
 def json(value: Column | str) -> Column:

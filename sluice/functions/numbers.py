@@ -23,6 +23,38 @@ def log(x: Column | str) -> Column:
     return F.when(x == 0, F.lit(-_MOST)).otherwise(F.ln(x))
 
 
+def log2(x: Column | str) -> Column:
+    x = _c(x).cast("double")
+    return F.when(x == 0, F.lit(-_MOST)).otherwise(F.log2(x))
+
+
+def log10(x: Column | str) -> Column:
+    x = _c(x).cast("double")
+    return F.when(x == 0, F.lit(-_MOST)).otherwise(F.log10(x))
+
+
+def exp(x: Column | str) -> Column:
+    return finite(F.exp(_c(x).cast("double")))
+
+
+def exp2(x: Column | str) -> Column:
+    return power(F.lit(2.0), _c(x).cast("double"))
+
+
+def exp10(x: Column | str) -> Column:
+    return power(F.lit(10.0), _c(x).cast("double"))
+
+
+def trigonometric(name: str, x: Column | str) -> Column:
+    """sin, cos, tan, asin, acos, atan, sinh, cosh, tanh, asinh, acosh or atanh; null outside a function's domain."""
+    of = {f.__name__: f for f in (F.sin, F.cos, F.tan, F.asin, F.acos, F.atan, F.sinh, F.cosh, F.tanh, F.asinh, F.acosh, F.atanh)}
+    return finite(of[name](_c(x).cast("double")))
+
+
+def is_nan(x: Column | str) -> Column:
+    return F.isnan(_c(x).cast("double"))
+
+
 def power(x: Column | str, y: Column | float) -> Column:
     return finite(F.pow(_c(x).cast("double"), y))
 
@@ -32,11 +64,12 @@ def sqrt(x: Column | str) -> Column:
 
 
 def modulo(x: Column | str, y: Column) -> Column:
-    """Remainder of whole parts, with the sign of x; an error for a divisor whose whole part is 0."""
+    """Remainder of whole parts, with the sign of x; an error for a divisor whose whole part is 0; null for NaN."""
     whole = lambda v: F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).cast("long")
     divisor = F.abs(whole(y))
     checked = F.when(divisor == 0, F.raise_error(F.lit("cannot be divided because the divisor is zero")).cast("long")).otherwise(divisor)
-    return whole(_c(x)) % checked
+    nan = F.isnan(_c(x).cast("double")) | F.isnan(y.cast("double"))
+    return F.when(~nan, whole(_c(x)) % checked)
 
 
 def divide(x: Column | str, y: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,22 +110,31 @@ def splits(s: Column | str, pattern: str, flags: str = "") -> Column:
 
 def sub(s: Column | str, pattern: str, replacement: str, flags: str = "") -> Column:
     """The first match replaced, or with flag g every one; the replacement can name groups as $1."""
-    pattern, s = flagged(pattern, flags), _c(s)
+    s = _c(s)
     if "g" in flags:
-        return F.regexp_replace(s, pattern, replacement)
-    # Matched again on the part that ends with the first match, so only that one is replaced.
-    found = F.regexp_instr(s, F.lit(pattern))
-    length = F.length(F.regexp_extract(s, pattern, 0))
-    here = F.substr(s, found, length)
-    changed = F.concat(F.substr(s, F.lit(1), found - 1), F.regexp_replace(here, pattern, replacement), F.substr(s, found + length))
-    return F.when(found > 0, changed).otherwise(s)
+        return F.regexp_replace(s, flagged(pattern, flags), replacement)
+    # What is before the first match becomes a group, so that the pattern sees the whole text and matches but once.
+    later = lambda sign: lambda m: f"{sign}{int(m[1]) + 2}"
+    inner = re.sub(r"(?<!\\)\\([1-9])", later("\\"), pattern)
+    return F.regexp_replace(s, flagged(rf"\A([\s\S]*?)({inner})", flags), "$1" + re.sub(r"\$(\d+)", later("$"), replacement))
+
+
+def _groups(pattern: str) -> regex.Pattern:
+    return regex.compile(pattern)
+
+
+def _optional(pattern: str) -> bool:
+    """Whether a group may take no part in a match: there are alternatives, or a group that may be left out."""
+    return bool(re.search(r"\||\)(?:[?*]|\{0)", pattern))
 
 
 def scan(s: Column | str, pattern: str, flags: str = "") -> Column:
-    """All matches as texts; with groups in the pattern, an array of the groups for each match."""
-    pattern = flagged(pattern, flags)
-    groups = re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", pattern)).groups
-    s = _c(s)
+    """All matches as texts; with groups in the pattern, an array of the groups for each match, null for one that took
+    no part."""
+    groups = _groups(pattern).groups
+    if groups and _optional(pattern):
+        return F.transform(match(s, pattern, flags + "g"), lambda m: F.transform(m["captures"], lambda c: c["string"]))
+    pattern, s = flagged(pattern, flags), _c(s)
     if not groups:
         return F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
     each = [F.regexp_extract_all(s, F.lit(pattern), F.lit(g)) for g in range(1, groups + 1)]
@@ -132,26 +142,26 @@ def scan(s: Column | str, pattern: str, flags: str = "") -> Column:
 
 
 def capture(s: Column | str, pattern: str, flags: str = "") -> Column:
-    """A struct of the named groups of the first match; null without a match."""
-    names = re.findall(r"\(\?<(\w+)>", pattern)
-    plain = flagged(re.sub(r"\(\?<\w+>", "(", pattern), flags)
-    order = list(re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", pattern)).groupindex.items())
-    fields = [F.nullif(F.regexp_extract(_c(s), plain, i), F.lit("")).alias(n) for n, i in order if n in names]
-    return F.when(F.rlike(_c(s), F.lit(plain)), F.struct(*fields))
+    """A struct of the named groups of the first match, null for one that took no part; null without a match."""
+    order = sorted(_groups(pattern).groupindex.items(), key=lambda x: x[1])
+    if _optional(pattern):
+        first = F.get(match(s, pattern, flags), F.lit(0))["captures"]
+        return F.when(test(s, pattern, flags), F.struct(*[F.get(first, F.lit(i - 1))["string"].alias(n) for n, i in order]))
+    plain = flagged(pattern, flags)
+    return F.when(F.rlike(_c(s), F.lit(plain)), F.struct(*[F.regexp_extract(_c(s), plain, i).alias(n) for n, i in order]))
 
 
 def match(s: Column | str, pattern: str, flags: str = "") -> Column:
     """array<struct<offset,length,string,captures>>: the first match, or with flag g all. No built-in gives offsets, so
-    this is an Arrow-batched function."""
+    this is an Arrow-batched function; it takes classes as \\p{L} as test() does."""
     every, nonempty = "g" in flags, "n" in flags
     flagged(pattern, flags)
     kind = "array<struct<offset:int,length:int,string:string,captures:array<struct<offset:int,length:int,string:string,name:string>>>>"
-    mode = (re.IGNORECASE if "i" in flags else 0) | (re.VERBOSE if "x" in flags else 0) | (re.DOTALL if "s" in flags else 0)
-    source = re.sub(r"\(\?<(?![=!])", "(?P<", pattern)
+    mode = (regex.IGNORECASE if "i" in flags else 0) | (regex.VERBOSE if "x" in flags else 0) | (regex.DOTALL if "s" in flags else 0)
 
     @F.pandas_udf(kind)
     def found(texts: pd.Series) -> pd.Series:
-        compiled = re.compile(source, mode)
+        compiled = regex.compile(pattern, mode)
         names = {i: n for n, i in compiled.groupindex.items()}
 
         def of(text: str | None) -> list[dict] | None:
@@ -173,8 +183,9 @@ def match(s: Column | str, pattern: str, flags: str = "") -> Column:
 
 
 def words(s: Column | str) -> Column:
-    """Words of identifiers: runs of letters and of digits, parted at humps."""
-    return F.regexp_extract_all(_c(s), F.lit(r"\p{Lu}+(?!\p{Ll})|\p{Lu}?\p{Ll}+|\p{Lo}+|[0-9]+"), F.lit(0))
+    """Words of identifiers: runs of letters and digits, parted between digits and others and at humps."""
+    edges = r"(?<=[0-9])(?=[^0-9])|(?<=[^0-9])(?=[0-9])|(?<=\p{IsLowercase})(?=\p{IsUppercase})|(?<=\p{IsUppercase})(?=\p{IsUppercase}\p{IsLowercase})"
+    return F.filter(F.split(_c(s), r"[^\p{IsAlphabetic}\p{N}]+|" + edges, -1), lambda w: w != "")
 
 
 def kebab_case(s: Column | str) -> Column:
@@ -194,7 +205,22 @@ def camel_case(s: Column | str) -> Column:
 
 
 def slug(s: Column | str) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(_c(s)), "[^a-z0-9]+", "-"), "^-|-$", "")
+    return kebab_case(s)
+
+
+def regex_escape(s: Column | str) -> Column:
+    """The text with a back slash before every character that means something in a pattern."""
+    return F.regexp_replace(_c(s), r"([\\.+*?()|\[\]{}^$#&~-])", r"\\$1")
+
+
+def index(s: Column | str, needle: str) -> Column:
+    """Where needle first begins; null if nowhere."""
+    return F.get(indices(s, needle), F.lit(0))
+
+
+def rindex(s: Column | str, needle: str) -> Column:
+    """Where needle last begins; null if nowhere."""
+    return F.array_max(indices(s, needle))
 
 
 def semver(s: Column | str) -> Column:
@@ -211,3 +237,18 @@ def semver_key(s: Column | str) -> Column:
     v = semver(s)
     ids = F.transform(split_on(v["prerelease"], "."), lambda x: F.struct((~F.rlike(x, F.lit("^[0-9]+$"))).alias("named"), x.try_cast("long").alias("number"), x.alias("text")))
     return F.struct(v["major"], v["minor"], v["patch"], v["prerelease"].isNull(), ids)
+
+
+def semver_bump(s: Column | str, part: str, label: str = "rc") -> Column:
+    """The next major, minor or patch version, or the next prerelease of a label; null if the text is none."""
+    v, names = semver(s), ("major", "minor", "patch")
+    if part == "prerelease":
+        own = F.concat_ws(".", *[v[n].cast("string") for n in names])
+        ids = split_on(v["prerelease"], ".")
+        last = F.element_at(ids, -1)
+        counted = F.concat(F.array_join(F.slice(ids, F.lit(1), F.size(ids) - 1), "."), F.lit("."), (last.try_cast("long") + 1).cast("string"))
+        following = F.when(F.get(ids, F.lit(0)) != label, f"{label}.1").when(F.rlike(last, F.lit("^[0-9]+$")), counted).otherwise(F.concat(v["prerelease"], F.lit(".1")))
+        return F.when(v.isNotNull(), F.concat(own, F.lit("-"), F.when(v["prerelease"].isNull(), f"{label}.1").otherwise(following)))
+    at = names.index(part)
+    numbers = [v[n] if i < at else v[n] + 1 if i == at else F.lit(0) for i, n in enumerate(names)]
+    return F.when(v.isNotNull(), F.concat_ws(".", *[n.cast("string") for n in numbers]))

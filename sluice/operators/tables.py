@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sluice.functions.arrays import truthy
+from sluice.operators.scratch import checkpoints
+
 
 def _named(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
@@ -29,6 +32,9 @@ def count_by(df: DataFrame, *keys: Column | str) -> DataFrame:
 def unique_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key. Rows are aggregated to their minimum, so that a frequent key is no bottleneck."""
     rest = [c for c in df.columns if c not in order]
+    if not any(df.schema[c].dataType.typeName() in ("map", "variant") for c in df.columns):
+        least = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min(F.struct(*order, *rest)).alias("r"))
+        return least.select("r.*").select(*df.columns)
     return df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min_by(_named(df), F.struct(*order, *[F.col(c) for c in rest if df.schema[c].dataType.typeName() not in ("map", "variant")])).alias("r")).select("r.*")
 
 
@@ -41,8 +47,54 @@ def extreme_by(df: DataFrame, keys: list[str], value: str, order: list[str], gre
 def statistics(df: DataFrame, keys: list[str], value: str, percentiles: tuple = (50,)) -> DataFrame:
     """count, sum, avg, min, max, stddev (of the population) and percentiles (interpolated) of a column."""
     v = F.col(value)
+    keys = list(keys)
     out = [F.count(v).alias("count"), F.sum(v).alias("sum"), F.avg(v).alias("avg"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("stddev")]
-    return df.groupBy(*keys).agg(*out, *[F.percentile(v, F.lit(p / 100)).alias(f"p{p:g}") for p in percentiles])
+    base = df.groupBy(*keys).agg(*out)
+    found = percentile_rows(df, keys, value, percentiles).groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).pivot("percentile", [float(p) for p in percentiles]).agg(F.first("result"))
+    found = found.toDF(*[f"__{k}" for k in keys], *[f"p{p:g}" for p in percentiles])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return base.join(found, same, "left").drop(*[f"__{k}" for k in keys])
+
+
+#: Parts that the span of a group's values is divided into for percentiles.
+PARTS = 1024
+
+
+def percentile_rows(df: DataFrame, keys: list[str], value: str, percentiles: tuple) -> DataFrame:
+    """keys, percentile, result: exact percentiles (0 to 100, interpolated), without a group's values in one place.
+
+    Equal values are counted first. The span of a group's values is divided into PARTS equal parts, whose counts tell
+    in which parts the two ranks lie that a percentile is between; only the values of those parts are ranked.
+    """
+    own = {k: f"__{i}" for i, k in enumerate(keys)}
+    rows = df.select(*[F.col(k).alias(n) for k, n in own.items()], F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    rows = rows.groupBy(*own.values(), "v").agg(F.count(F.lit(1)).alias("c"))
+
+    def beside(left: DataFrame, right: DataFrame, *also: str) -> DataFrame:
+        right = right.select(*[F.col(n).alias(f"r{n}") for n in (*own.values(), *also)], *[c for c in right.columns if c not in (*own.values(), *also)])
+        same = F.lit(True)
+        for n in (*own.values(), *also):
+            same = same & F.col(n).eqNullSafe(F.col(f"r{n}"))
+        return left.join(right, same).drop(*[f"r{n}" for n in (*own.values(), *also)])
+
+    spans = rows.groupBy(*own.values()).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
+    part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * PARTS), F.lit(PARTS - 1))).otherwise(F.lit(0)).cast("int")
+    placed = beside(rows, spans.drop("n")).withColumn("part", part).drop("lo", "hi")
+    till = F.sum("m").over(Window.partitionBy(*own.values()).orderBy("part"))  # PARTS rows a group
+    sums = placed.groupBy(*own.values(), "part").agg(F.sum("c").alias("m")).withColumn("till", till).withColumn("before", F.col("till") - F.col("m"))
+    ranks = spans.select(*own.values(), F.explode(F.array(*[F.lit(float(p)) for p in percentiles])).alias("percentile"), (F.col("n") - 1).alias("last"))
+    place = F.col("percentile") / 100 * F.col("last")
+    ranks = ranks.select(*own.values(), "percentile", (place - F.floor(place)).alias("share"), F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("rank"))
+    wanted = beside(ranks, sums.drop("m")).where("rank >= before AND rank < till").drop("till")
+    inside = beside(placed, wanted.select(*own.values(), "part", "before").distinct(), "part")
+    ahead = F.sum("c").over(Window.partitionBy(*own.values(), "part").orderBy("v"))
+    ranked = inside.withColumn("end", F.col("before") + ahead).withColumn("begin", F.col("end") - F.col("c")).drop("before", "c")
+    picked = beside(wanted.drop("before"), ranked, "part").where("rank >= begin AND rank < end")
+    low, high = F.min("v"), F.max("v")
+    out = picked.groupBy(*own.values(), "percentile").agg((low + (high - low) * F.first("share")).alias("result"))
+    return out.select(*[F.col(n).alias(k) for k, n in own.items()], "percentile", "result")
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
@@ -127,21 +179,41 @@ def any_all(df: DataFrame, keys: list[str], holds: Column) -> DataFrame:
 
 
 def select_truthy(df: DataFrame, value: Column) -> DataFrame:
-    """Rows whose value is neither null nor false."""
-    return df.where(value.isNotNull() & (value.cast("string") != "false"))
+    """Rows whose value is neither null nor the boolean false."""
+    return df.where(truthy(value))
 
 
-def recurse(edges: DataFrame, roots: DataFrame, parent: str, child: str, rounds: int = 100) -> DataFrame:
+def recurse(edges: DataFrame, roots: DataFrame, parent: str, child: str, rounds: int | None = None) -> DataFrame:
     """`node`, `depth`: what is reached from roots (one column) along edges; a node has the depth first met.
 
-    A round is a join; the nodes so far are checkpointed, so plans stay short. More than `rounds` levels are an error.
+    A round is a join of the last level alone, which is checkpointed; every tenth round the levels become one, so plans
+    stay short. It ends when no new node is met, or after `rounds` rounds.
     """
+    checkpoints(edges.sparkSession)
     found = roots.toDF("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
-    last = found
-    for depth in range(1, rounds + 1):
+    last, depth = found, 0
+    while rounds is None or depth < rounds:
+        depth += 1
         step = last.join(edges, F.col("node") == F.col(parent)).select(F.col(child).alias("node")).distinct()
         last = step.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if last.isEmpty():
-            return found
-        found = found.unionByName(last).checkpoint()
-    raise ValueError(f"deeper than {rounds} levels")
+            break
+        found = found.unionByName(last)
+        if depth % 10 == 0:
+            found = found.checkpoint()
+    return found
+
+
+def range_join(points: DataFrame, value: str, ranges: DataFrame, lo: str, hi: str, width: float) -> DataFrame:
+    """Every pair of a point and a range that holds it (lo <= value < hi), as an equi-join: a range is in all bins of
+    `width` that it touches, a point in one. A width near the ranges' own keeps both sides small."""
+    bins = F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))
+    spread = ranges.where(F.col(lo) < F.col(hi)).withColumn("__bin", F.explode(bins))
+    own = points.withColumn("__at", F.floor(F.col(value) / width))
+    return own.join(spread, F.col("__at") == F.col("__bin")).where((F.col(value) >= F.col(lo)) & (F.col(value) < F.col(hi))).drop("__at", "__bin")
+
+
+def slurp(docs: DataFrame, keys: list[str], order: list[str], doc: str = "doc") -> DataFrame:
+    """keys and `doc`: a JSON array of the documents of each key, as of each file, in order. For keys whose documents
+    fit in a row."""
+    return group_by(docs.select(*keys, *order, doc), keys, order).select(*keys, F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r[doc]), ","), F.lit("]")).alias("doc"))

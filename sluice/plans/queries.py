@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions import arrays, dates, formats, numbers, paths, strings
 from sluice.operators import tables as T
+from sluice.operators.scratch import checkpoints
+from sluice.plans import document_queries, function_queries  # noqa: F401  enter their own
+from sluice.plans.registry import ORACLE_SQL, QUERIES, query
 from sluice.streaming import lines
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f: Callable) -> Callable:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
 
 # Aggregates, groups, statistics
 
@@ -269,19 +254,14 @@ def conversation_roles(t):
 
 
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events an hour and type, read as a stream until all files are taken in and counted in closed windows."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sluice-stream-")
-    folder = f"{shared}/stream-{uuid.uuid4().hex}"
+    """Events an hour and type, read as a stream until all files are taken in; the hour of the last event counts too."""
+    folder = f"{checkpoints(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
     counts = lines.windowed_counts(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "0 seconds", "event_type")
     counts = counts.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
-    run = counts.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(counts.schema).parquet(f"{folder}/out")
+    return lines.all_counts(counts, folder)
 
 
 QUERIES["stream_counts"] = stream_counts
-#: The window that holds the last event stays open.
-ORACLE_SQL["stream_counts"] = """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS "start", event_type, count(*) AS n FROM events
-WHERE date_trunc('hour', ts) < (SELECT date_trunc('hour', max(ts)) FROM events) GROUP BY ALL"""
+ORACLE_SQL["stream_counts"] = """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS "start", event_type, count(*) AS n FROM events GROUP BY ALL"""

@@ -5,6 +5,7 @@ Line formats are splittable and stay in built-in operators. JSON files, YAML and
 
 from __future__ import annotations
 
+import csv
 import json
 import tomllib
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sluice.functions.paths import dump
@@ -75,25 +77,39 @@ def read_yaml(spark: SparkSession, path: str) -> DataFrame:
     return _whole(spark, path, lambda text: [_plain(d) for d in yaml.safe_load_all(text)])
 
 
-def read_csv(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """`row`, an array of the cells as text; quotes are doubled inside quoted cells."""
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    rows = spark.read.schema(schema).csv(path, header=False, multiLine=True, quote='"', escape='"', mode="FAILFAST", emptyValue="")
+def read_csv(spark: SparkSession, path: str, width: int | None = None) -> DataFrame:
+    """`row`, an array of the cells as text; quotes are doubled inside quoted cells. Without a width the first record
+    tells it; a record of another width fails the job."""
+    reader = spark.read.schema(", ".join(f"c{i} string" for i in range(width))) if width else spark.read
+    rows = reader.csv(path, header=False, multiLine=True, quote='"', escape='"', mode="FAILFAST", emptyValue="")
     return rows.select(F.transform(F.array(*rows.columns), lambda x: F.coalesce(x, F.lit(""))).alias("row"))
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    r"""`row`, an array of the cells; \t, \n, \r and \\ are decoded."""
+    r"""`row`, an array of the cells; \t, \n, \r and \\ are decoded, other back slashes stay. A cell that ends in a lone
+    back slash fails the job."""
 
-    def cell(x: Column) -> Column:
-        x = F.replace(x, F.lit("\\\\"), F.lit("\u0000"))
-        for escaped, plain in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\u0000", "\\")):
+    def part(x: Column) -> Column:
+        for escaped, plain in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r")):
             x = F.replace(x, F.lit(escaped), F.lit(plain))
         return x
 
+    def cell(x: Column) -> Column:
+        # Between two back slashes that stand for one, each other one begins an escape.
+        parts = F.split(x, r"\\\\", -1)
+        lone = F.element_at(parts, -1).endswith("\\")
+        return F.when(lone, F.raise_error(F.concat(F.lit("tsv: trailing escape in "), x)).cast("string")).otherwise(F.array_join(F.transform(parts, part), "\\"))
+
     return spark.read.text(path).select(F.transform(F.split("value", "\t", -1), cell).alias("row"))
 
 
+def with_file_order(docs: DataFrame) -> DataFrame:
+    """docs with file_idx: the place of src_file among all files by name, from 0. There is a row a file to be ordered."""
+    files = docs.select("src_file").distinct()
+    order = files.select(F.col("src_file").alias("__file"), (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("src_file")) - 1).alias("file_idx"))
+    return docs.join(order, F.col("src_file") == F.col("__file")).drop("__file")
+
+
 def inferred(cell: Column | str) -> Column:
     """The cell as JSON if it is a number, a boolean or null; else as a JSON text. Objects and arrays stay text."""
     cell = F.col(cell) if isinstance(cell, str) else cell
@@ -106,18 +122,36 @@ def with_header(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.select(*[F.get("row", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
+def _tabular(head: str, separator: str) -> bool:
+    """Two rows or more of as many cells, two or more."""
+    rows = list(csv.reader(head.splitlines(), delimiter=separator, quoting=csv.QUOTE_MINIMAL if separator == "," else csv.QUOTE_NONE))
+    return len(rows) > 1 and len(rows[0]) > 1 and len({len(r) for r in rows}) == 1
+
+
+def _parses(parse, text: str) -> bool:
+    try:
+        parse(text)
+    except ValueError:
+        return False
+    return True
+
+
 def format_of(path: str, head: str = "", policy: str = "warn-fallback") -> str:
-    """The format that a file's extension or its first characters tell; yaml if neither does.
+    """The format that a file's extension or its content tells; yaml if neither does.
 
-    policy: "extension" or "sniff" takes that one alone; else the extension counts, and the content without one.
+    policy: "extension" or "sniff" takes that one alone; else the extension counts, and the content without one, or
+    where the content is no JSON or TOML though the extension says so. head is the content, or whole lines of it.
     """
     named = _EXTENSIONS.get(path.rpartition(".")[2].lower()) if "." in path else None
-    lines = [x for x in head.splitlines() if x.strip()][:2]
+    lines = [x.strip() for x in head.splitlines() if x.strip()]
     seen = None
-    if lines:
-        try:
-            [json.loads(x) for x in lines]
-            seen = "jsonl" if len(lines) > 1 else "json"
-        except ValueError:
-            seen = "json" if lines[0].lstrip()[:1] in "{[" else "tsv" if "\t" in lines[0] else "toml" if "=" in lines[0] and ":" not in lines[0].partition("=")[0] else None
-    return {"extension": named, "sniff": seen}.get(policy, named or seen) or "yaml"
+    if len(lines) > 1 and all(x[0] in "{[" for x in lines):
+        seen = "jsonl"
+    elif lines and lines[0][0] in "{[" and _parses(json.loads, head):
+        seen = "json"
+    elif lines and _parses(tomllib.loads, head):
+        seen = "toml"
+    elif lines:
+        seen = "tsv" if "\t" in head and _tabular(head, "\t") else "csv" if "," in head and _tabular(head, ",") else None
+    wrong = bool(lines) and (named == "json" and not _parses(json.loads, head) or named == "toml" and not _parses(tomllib.loads, head))
+    return {"extension": named, "sniff": seen}.get(policy, (seen if wrong and seen else named) or seen) or "yaml"

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions import formats
+from sluice.functions import documents, formats
 from sluice.functions.paths import load
 
 
@@ -28,7 +28,11 @@ def to_tsv(df: DataFrame) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str, separator: str = "\n") -> None:
-    """`value`, a record each, with what comes after each; NUL for raw output that may hold line feeds."""
+    """`value`, a record each, with what comes after each; NUL for raw output that may hold line feeds. A record that
+    holds a NUL fails the job where NUL parts them."""
+    if separator == "\0":
+        wrong = F.raise_error(F.lit("a record holds a NUL")).cast("string")
+        lines = lines.select(F.when(F.instr("value", "\0") > 0, wrong).otherwise(F.col("value")).alias("value"))
     lines.select("value").write.option("lineSep", separator).text(path)
 
 
@@ -52,11 +56,19 @@ def _floats(value):
     return value if value is None or isinstance(value, (str, bool, int)) else float(value)
 
 
+def to_json(docs: DataFrame, doc: str = "doc", width: int | None = 2) -> DataFrame:
+    """`value`: JSON documents over several lines, or, without a width, on one."""
+    return docs.select((documents.indented(doc, width) if width else documents.update(doc, [], lambda v: v)).alias("value"))
+
+
 def table(df: DataFrame, rows: int = 100) -> str:
-    """The first rows as a text table: widths by characters, numbers to the right, control characters escaped."""
+    """The first rows as a text table: widths by characters, numbers to the right, control characters escaped. A last
+    line says so if there are more rows."""
     escape = str.maketrans({"\n": "\\n", "\r": "\\r", "\t": "\\t"})
-    cells = [["" if x is None else str(x).translate(escape) for x in r] for r in df.limit(rows).collect()]
+    found = df.limit(rows + 1).collect()
+    cells = [["" if x is None else str(x).translate(escape) for x in r] for r in found[:rows]]
     right = [f.dataType.simpleString() in ("tinyint", "smallint", "int", "bigint", "float", "double") for f in df.schema]
     width = [max([len(c), *(len(r[i]) for r in cells)]) for i, c in enumerate(df.columns)]
     line = lambda r: " | ".join(x.rjust(w) if k else x.ljust(w) for x, w, k in zip(r, width, right)).rstrip()
-    return "\n".join([line(df.columns), "-+-".join("-" * w for w in width), *map(line, cells)])
+    more = [f"(the first {rows} rows)"] if len(found) > rows else []
+    return "\n".join([line(df.columns), "-+-".join("-" * w for w in width), *map(line, cells), *more])

@@ -33,3 +33,21 @@ def windowed_counts(events: DataFrame, time: str, window: str, late: str, *keys:
     own = F.window(time, window)
     counts = events.withWatermark(time, late).groupBy(own.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(F.col("w.start").alias("start"), *keys, "n")
+
+
+def all_counts(counts: DataFrame, folder: str) -> DataFrame:
+    """The counts of an aggregated stream when all that is there now is taken in, of open windows too.
+
+    Each round writes all counts to a folder of its own; the last round's are read.
+    """
+    spark, rounds = counts.sparkSession, []
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/out/{number}")
+        rounds.append(number)
+
+    run = counts.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    if not rounds:
+        return spark.createDataFrame([], counts.schema)
+    return spark.read.schema(counts.schema).parquet(f"{folder}/out/{max(rounds)}")
