@@ -16,9 +16,9 @@ Linking, in steps that each move little and never gather an unbounded group:
 3. What is left joins the classes' sets. A bucket of over 2 * BLOCK classes is dealt into parts of about BLOCK classes,
    with the bucket's least class in each. A class is sent once for each of its buckets, so this grows with the number
    of classes, not with the square of a bucket's.
-4. In a group, pairs whose signatures agree enough are taken from the most alike down; a pair that is not yet
-   connected is confirmed on the full sets, and if linked becomes an edge. A group of n classes yields n - 1 edges at
-   most, whatever the number of its pairs. The agreement asked for (min_agree(), 50 coordinates of 80 at 0.85) is
+4. In a group, pairs whose signatures agree enough and that are not yet connected are confirmed on the full sets, a
+   class against many at once, and if linked become edges. A group of n classes yields n - 1 edges at most, whatever
+   the number of its pairs. The agreement asked for (min_agree(), 50 coordinates of 80 at 0.85) is
    missed by a pair at the least overlap with probability MISS at most.
 5. Components are found by passing the smallest id along edges and shortcutting, until nothing changes.
 6. Large buckets whose classes are all in one component by now, as those of many near copies, are done. The others'
@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import words as W
-from sluice.llm.shared import drop_folder, stored, table
+from sluice.llm.shared import beside_groups, drop_folder, stored, table
 
 SHINGLE, BANDS, ROWS = 5, 20, 4
 COORDS = BANDS * ROWS
@@ -187,46 +187,30 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
     return joined.mapInArrow(each, schema)
 
 
-def linked(a: np.ndarray, b: np.ndarray, ratio: tuple[int, int] = RATIO) -> bool:
-    """Whether two ascending arrays of distinct shingles overlap enough."""
-    (num, den), (small, large) = ratio, sorted((len(a), len(b)))
-    if den * small < num * large:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return den * both >= num * (len(a) + len(b) - both)
-
-
 def spanning_links(ids: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, ratio: tuple[int, int] = RATIO) -> list[tuple[int, int]]:
     """Edges that connect what the links between left and right rows (indexes) connect.
 
-    Both may be the same rows. Pairs are taken from the most alike down, and only while unconnected.
+    Both may be the same rows. A row's set is held against those of all rows at once that it is not yet connected with
+    and whose signatures agree enough with its own.
     """
     (num, den), least = ratio, min_agree(ratio)
-    root = list(range(len(ids)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
     size = np.array([len(s) for s in sets])
-    pairs = []
+    flat, first = np.concatenate(sets), np.cumsum(size) - size
+    label, out = np.arange(len(ids)), []
     for i in left.tolist():
         others = right[right > i] if left is right else right[ids[right] != ids[i]]
-        fit = others[(den * np.minimum(size[others], size[i]) >= num * np.maximum(size[others], size[i]))]
+        fit = others[(label[others] != label[i]) & (den * np.minimum(size[others], size[i]) >= num * np.maximum(size[others], size[i]))]
+        fit = fit[(sigs[fit] == sigs[i]).sum(axis=1) >= least]
         if not len(fit):
             continue
-        agree = (sigs[fit] == sigs[i]).sum(axis=1)
-        for j, k in zip(fit[agree >= least].tolist(), agree[agree >= least].tolist()):
-            pairs.append((-k, i, j))
-    pairs.sort()
-    out = []
-    for _, i, j in pairs:
-        a, b = find(i), find(j)
-        if a != b and linked(sets[i], sets[j], ratio):
-            root[a] = b
-            out.append((int(ids[i]), int(ids[j])))
+        begin = np.cumsum(size[fit]) - size[fit]
+        theirs = flat[np.arange(int(size[fit].sum())) + np.repeat(first[fit] - begin, size[fit])]
+        at = np.minimum(np.searchsorted(sets[i], theirs), size[i] - 1)
+        both = np.add.reduceat((sets[i][at] == theirs).astype(np.int64), begin)
+        for j in fit[den * both >= num * (size[fit] + size[i] - both)].tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                out.append((int(ids[i]), int(ids[j])))
     return out
 
 
@@ -368,7 +352,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     meet = classes.select("doc_id", "set1", "set2", "sig").join(buckets.withColumnRenamed("buckets", "more"), "doc_id")
     edges = links(parted(_sets(docs, meet, id_col, text_col), block), ratio)
     # members of a class, and rows that share a doc_id, hang on the class's first
-    copies = own.select("doc_id", *same).join(classes.where("copies > 1").select(F.col("doc_id").alias("b"), *same), same).select(F.col("doc_id").alias("a"), "b")
+    copied = classes.where("copies > 1").select(F.col("doc_id").alias("b"), "copies", *same)
+    copies = beside_groups(own.select("doc_id", *same), copied, same, "copies", rows.count()).select(F.col("doc_id").alias("a"), "b")
     found = components(edges.unionByName(copies))
     used = [rows, classes, buckets, found]
     if buckets.where(F.exists("buckets", lambda x: x["size"] > 2 * block)).limit(1).count():

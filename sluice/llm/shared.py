@@ -69,11 +69,46 @@ def crc_fold(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds
 
 
+def given(keep: tuple, made: tuple) -> list[Column]:
+    """The columns in keep; one with the name of a column that the operator makes is called `given_` and its name."""
+    return [F.col(f"`{c}`").alias(f"given_{c}" if c in made else c) for c in keep]
+
+
+def ranked(rows: DataFrame, column: str, rank: int, held: int = 10_000) -> float:
+    """The value of the given rank (from 0) in the order of a column of numbers, which has no nulls.
+
+    The span of values is divided by 1024 again and again, and only the part that holds the rank is looked at further,
+    until it has `held` rows or one value: nothing is sorted but these.
+    """
+    x = F.col(column)
+    lo, hi, n = rows.agg(F.min(x), F.max(x), F.count(x)).first()
+    while n > held and lo < hi:
+        inside = rows.where(x.between(lo, hi))
+        part = F.least(F.floor((x - lo) / (hi - lo) * 1024), F.lit(1023)).alias("part")
+        for r in sorted(inside.groupBy(part).agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n")).collect()):
+            if rank < r["n"]:
+                lo, hi, n = r["lo"], r["hi"], r["n"]
+                break
+            rank -= r["n"]
+    return lo if lo == hi else sorted(r[0] for r in rows.where(x.between(lo, hi)).select(x).collect())[rank]
+
+
 def pieces(rows: int, each: int) -> int:
     """How many parts of about `each` rows hold `rows` rows."""
     return max(1, -(-int(rows or 0) // each))
 
 
+def beside_groups(rows: DataFrame, groups: DataFrame, keys: list[str], members: str, total: int, least: int = 10_000) -> DataFrame:
+    """rows joined with groups (a row for each key; members: how many of `total` rows have it).
+
+    Keys that more than a 1,000th of the rows have, and `least` rows, are fewer than 1,000, and are broadcast: their
+    rows stay where they are. The other keys' rows are dealt by key.
+    """
+    most = max(least, total // 1000)
+    hot, cold = groups.where(F.col(members) > most), groups.where(F.col(members) <= most)
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
 def hash_below(rows: int, wanted: int, spare: int = 4) -> int:
     """A 64-bit hash below which about spare * wanted of so many rows lie: what is sampled is first cut to these, so
     that ranking them is bounded however many rows there are."""
