@@ -1,19 +1,22 @@
 """Document quality by Bradley-Terry pairwise ranking.
 
 A document's strength is a linear function of features of its whole text. Preference pairs, a document labelled good
-over one labelled bad, give the weights: the logistic loss on the difference of the pair's features, with a small
-ridge, is minimised by Newton's method. The strengths of a sample are then cut at a quantile: the share of labels 0
-among the labelled rows. Around the cut, strengths are mapped to scores from 0 to 1 with 0.5 at the cut.
+over one labelled bad, give the weights: the logistic loss on the difference of the pair's features, with a
+ridge, is minimised by Newton's method. The strengths of all labelled rows are then cut at a quantile: the share of
+labels 0 among them. Around the cut, strengths are mapped to scores from 0 to 1 with 0.5 at the cut.
 
-Training is on a bounded sample: of each label the SAMPLE rows with the lowest hash of doc_id, with PAIRS pairs for
-each row of the larger side. Labels, languages, sources and ids are no features.
+The weights are fitted on a bounded sample: of each label the SAMPLE rows with the lowest hash of doc_id, with PAIRS
+pairs for each row of the larger side. Labels, languages, sources and ids are no features.
 
-The features of a text are counts of kinds of bytes and of word shapes in relation to its length, and how much its
-words repeat; see FEATURES. All are computed on whole texts.
+The features of a text are the shares of its words in each of HASHED buckets that words are hashed to, counts of kinds
+of bytes and of word shapes in relation to its length, and how much its words repeat; see SHAPES. All are computed on
+whole texts.
 
 Defined cases. Null and empty texts have all features 0 and are scored like any other. A doc_id with several labels
 counts as good if any is good. Ties in the hash are broken by doc_id. With no labels of one kind every score is the
-share of good labels (0.5 without any). Repeated rows are scored alike. Other columns are not looked at.
+share of good labels (0.5 without any). Repeated rows are scored alike; for the cut a doc_id counts once. A very long
+text is worked on whole, in about 100 bytes of memory for each of its bytes. Other columns are not looked at; a column in
+`keep` with the name of one that an operator makes comes out as `given_` and its name.
 """
 
 from __future__ import annotations
@@ -27,13 +30,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sluice.llm import words as W
-from sluice.llm.shared import crc_fold, hash_below, table
+from sluice.llm.shared import crc_fold, drop_folder, given, hash_below, ranked, stored, table
 
 #: Rows of each label that are learned from, and pairs that each row of the larger side is in.
 SAMPLE, PAIRS = 4000, 8
-RIDGE = 1e-3
+#: The ridge on the weights of SHAPES and of words; the second was chosen by folds of the training rows.
+RIDGE, WORD_RIDGE = 1e-3, 0.03
 
-FEATURES = (
+#: Buckets of words.
+HASHED = 256
+SHAPES = (
     "letters", "upper", "digits", "marks", "odd marks", "doubled marks", "bars", "lines", "sentence ends", "commas",
     "word length", "long words", "short words", "upper words", "marked words", "repeated neighbours", "repeated words",
     "log words", "lone marks", "lower starts", "worst neighbourhood", "plain words",
@@ -60,7 +66,7 @@ NEAR = 32
 def features(b: W.Block) -> np.ndarray:
     """A row for each text of a block."""
     n = len(b)
-    out = np.zeros((n, len(FEATURES)))
+    out = np.zeros((n, len(SHAPES) + HASHED))
     if not len(b.starts):
         return out
     data, some = b.data, b.counts > 0
@@ -80,6 +86,7 @@ def features(b: W.Block) -> np.ndarray:
     letter = _LOWER[data] + upper + _LEAD[data]
     double = np.zeros(len(data), np.uint8)
     double[1:] = (data[1:] == data[:-1]) & (mark[1:] > 0)
+    double[b.offsets[:-1][b.offsets[:-1] < len(data)]] = 0
     s, e = b.starts, b.ends
     length = (e - s).astype(float)
     in_word = lambda kind: np.add.reduceat(np.append(kind, 0).astype(np.int32), np.column_stack([s, e]).ravel())[::2]
@@ -125,38 +132,48 @@ def features(b: W.Block) -> np.ndarray:
     least[some] = np.minimum.reduceat(near, b.first[:-1][some])
     out[:, 20] = 1 - least
     out[:, 21] = words_of(plain) / words
+    out[:, 22:] = np.bincount(text * HASHED + (h % W.U(HASHED)).astype(np.int64), minlength=n * HASHED).reshape(n, HASHED) / words[:, None]
     out[~some] = 0
     return out
 
 
 def with_features(docs: DataFrame, keep: tuple = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the columns in keep, features (array of double)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), *given(keep, ("doc_id", "features")), text_col)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.concatenate([np.zeros((0, len(FEATURES))), *(features(b) for b in W.blocks(batch.column(batch.num_columns - 1), W.NOT_SPACE))])
+            x = np.concatenate([np.zeros((0, len(SHAPES) + HASHED)), *(features(b) for b in W.blocks(batch.column(batch.num_columns - 1), W.NOT_SPACE))])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*batch.schema.names[:-1], "features"])
 
     return rows.mapInArrow(each, f"{kinds}, features array<double>")
 
 
-def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE) -> dict:
+def ridges(n: int) -> np.ndarray:
+    """The ridge on the weight of each of n features; the first ones are SHAPES."""
+    return np.where(np.arange(n) < len(SHAPES), RIDGE, WORD_RIDGE)
+
+
+def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS) -> dict:
     """Weights of a Bradley-Terry model from rows that are good or bad, on scaled features."""
+    ridge = ridges(x.shape[1])
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = (x - mean) / spread
     a, b = z[good], z[~good]
     n = max(len(a), len(b))
     rows = np.arange(n * pairs)
     # Every row of the larger side meets `pairs` of the other, dealt evenly.
-    d = a[rows % len(a)] - b[(rows * 7919 + rows // n) % len(b)]
+    left, right = rows % len(a), (rows * 7919 + rows // n) % len(b)
     w = np.zeros(z.shape[1])
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        grad = d.T @ (1 - p) / len(d) - ridge * w
-        hess = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w))
+        grad, hess = -ridge * w, np.diag(ridge)
+        for k in range(0, len(rows), 4096):
+            d = a[left[k : k + 4096]] - b[right[k : k + 4096]]
+            p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
+            grad += d.T @ (1 - p) / len(rows)
+            hess += (d * (p * (1 - p))[:, None]).T @ d / len(rows)
         step = np.linalg.solve(hess, grad)
         w += step
         if np.abs(step).max() < 1e-8:
@@ -168,9 +185,13 @@ def strengths(model: dict, x: np.ndarray) -> np.ndarray:
     return (x - model["mean"]) / model["spread"] @ model["weights"]
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """A model from labelled documents (labels: doc_id, quality)."""
-    marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+def _marks(labels: DataFrame) -> DataFrame:
+    return labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
+    """Weights from labelled documents (labels: doc_id, quality), without a cut."""
+    marks = _marks(labels)
     share = {r["quality"]: r["n"] for r in marks.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = sum(share.values())
     good_share = share.get(1, 0) / n if n else 0.5
@@ -187,35 +208,57 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     rows = with_features(texts, ("quality",)).orderBy("doc_id").collect()
     if len({r["quality"] for r in rows}) < 2:
         return {"constant": good_share}
-    x, good = np.array([r["features"] for r in rows]), np.array([r["quality"] == 1 for r in rows])
-    model = fit(x, good)
-    s = strengths(model, x)
-    # The sample has its own shares of labels: rows weigh so that theirs are those of all labels.
-    weight = np.where(good, good_share / good.mean(), (1 - good_share) / (1 - good.mean()))
-    order = np.argsort(s)
-    till = np.cumsum(weight[order]) / weight.sum()
-    k = int(np.searchsorted(till, 1 - good_share))
-    model["cut"] = (s[order[min(k, len(s) - 1)]] + s[order[min(k + 1, len(s) - 1)]]) / 2
+    return fit(np.array([r["features"] for r in rows]), np.array([r["quality"] == 1 for r in rows]))
+
+
+def cut_at(rated: DataFrame, labels: DataFrame) -> float:
+    """The strength below which as many labelled rows of rated (doc_id, strength) lie as have label 0."""
+    rows = stored(rated.groupBy("doc_id").agg(F.max("strength").alias("strength")).join(_marks(labels), "doc_id"), "labelled")
+    bad, n = rows.agg(F.count_if(F.col("quality") != 1), F.count(F.lit(1))).first()
+    at = [ranked(rows, "strength", min(max(k, 0), n - 1)) for k in (bad - 1, bad)]
+    drop_folder(rows.sparkSession, rows.stored_at)
+    return sum(at) / 2
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
+    """A model from labelled documents (labels: doc_id, quality)."""
+    model = fitted(docs, labels, sample)
+    if "constant" not in model:
+        model["cut"] = cut_at(rate(docs, model), labels)
     return model
 
 
-def score(docs: DataFrame, model: dict, keep: tuple = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, the columns in keep, score (0 to 1, higher is better), predicted (1 from 0.5 on)."""
+def rate(docs: DataFrame, model: dict, keep: tuple = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, the columns in keep, strength (null with a model of one kind of label)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), *given(keep, MADE), text_col)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            if "constant" in model:
-                s = np.full(batch.num_rows, model["constant"])
-            else:
-                s = np.concatenate([np.zeros(0), *(strengths(model, features(b)) for b in W.blocks(batch.column(batch.num_columns - 1), W.NOT_SPACE))])
-                s = 1 / (1 + np.exp(-np.clip(s - model["cut"], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*batch.schema.names[:-1], "score", "predicted"])
+            blocks = W.blocks(batch.column(batch.num_columns - 1), W.NOT_SPACE)
+            s = pa.nulls(batch.num_rows, pa.float64()) if "constant" in model else pa.array(np.concatenate([np.zeros(0), *(strengths(model, features(b)) for b in blocks)]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], s], [*batch.schema.names[:-1], "strength"])
+
+    return rows.mapInArrow(each, f"{kinds}, strength double")
+
+
+def scored(rated: DataFrame, model: dict) -> DataFrame:
+    """rated with score and predicted in place of strength."""
+    if "constant" in model:
+        score = F.lit(float(model["constant"]))
+    else:
+        score = 1 / (1 + F.exp(F.least(F.greatest(F.lit(float(model["cut"])) - F.col("strength"), F.lit(-30.0)), F.lit(30.0))))
+    return rated.withColumn("score", score).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)).drop("strength")
 
-    return rows.mapInArrow(each, f"{kinds}, score double, predicted int")
+
+MADE = ("doc_id", "strength", "score", "predicted")
+
+
+def score(docs: DataFrame, model: dict, keep: tuple = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, the columns in keep, score (0 to 1, higher is better), predicted (1 from 0.5 on)."""
+    return scored(rate(docs, model, keep, id_col, text_col), model)
 
 
 FOLDS, HELD_OUT = 3, 1
@@ -224,8 +267,12 @@ FOLDS, HELD_OUT = 3, 1
 def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     fold = F.coalesce(crc_fold(F.col("doc_id"), FOLDS), F.lit(0))
-    model = learn(docs, labels.where(fold != HELD_OUT))
-    return score(docs.select("doc_id", "text", (fold == HELD_OUT).alias("held_out")), model, ("held_out",))
+    learned = labels.where(fold != HELD_OUT)
+    model = fitted(docs, learned)
+    rated = stored(rate(docs.select("doc_id", "text", (fold == HELD_OUT).alias("held_out")), model, ("held_out",)), "strengths")
+    if "constant" not in model:
+        model["cut"] = cut_at(rated, learned)
+    return scored(rated, model)
 
 
 ORACLE_SQL: dict[str, str] = {}
