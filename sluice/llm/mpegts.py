@@ -1,19 +1,25 @@
-"""Bytes in MPEG transport streams: writing them, and reading any program of one elementary stream.
+"""Bytes in MPEG transport streams: writing them, and reading the elementary streams of any program.
 
-A stream is a row of packets of 188 bytes. The program association table (PID 0) names the program map table, that
-names the elementary stream's PID and type. The payload is cut into access units of UNIT bytes, each in a packetised
+A stream is a row of packets of 188 bytes. The program association table (PID 0) names the program map tables, that
+name the elementary streams' PIDs and types. The payload is cut into access units of UNIT bytes, each in a packetised
 elementary packet with a presentation timestamp, UNIT_TICKS ticks of 90 kHz apart. Every KEY-th unit is a random-access
 point: its first packet says so and has a clock reference. Packets are filled up with stuffing in adaptation fields.
 
-Reading parses the tables and their checksums, checks the continuity counters of each PID, puts the elementary packets
-together, and gives the payload, the timestamps and which of them are random-access points.
+Reading puts the tables together, of however many packets, and checks their checksums; checks the continuity counters of
+the PID that is read; puts the elementary packets together and checks their lengths; and gives the payload, the
+timestamps and which of them are random-access points.
 
 A column of texts becomes a column of streams with encode_column(); a table with such a column is decoded with
 decode_column(). Both work batch by batch and move nothing between tasks.
 
-Defined cases. A null text is empty; its payload is 64 zero bytes. A null stream decodes to nulls. A stream that is
-not a row of packets, or whose tables are wrong, decodes to nulls with the reason in `error`; lost packets are counted
-as discontinuities, and the packet they are missing from is left out. Repeated rows and other columns are kept.
+Defined cases. A null text is empty; its payload is 64 zero bytes. A very long text is one stream, held whole by the task
+that writes or reads it. A null stream decodes to nulls. A stream that is not a row of packets, or whose tables are
+wrong, decodes to nulls with the reason in `error`. A packet that repeats the one before it is passed over. Lost packets
+count as discontinuities, be it that a counter is out of order (but where the stream says so), that a unit is shorter or
+longer than it says, that packets come before the first unit, or that timestamps which go up evenly leave one out. A
+unit that they are missing from is left out; one that is complete before them stays. A loss that none of this tells,
+as of whole units at the end, can't be seen. Program 0 is the network's and is none. Repeated rows and other columns are
+kept; a column in `keep` with the name of one that is made comes out as `given_` and its name.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import words as W
-from sluice.llm.shared import stored, table
+from sluice.llm.shared import given, stored, table
 
 PACKET, SYNC = 188, 0x47
 PMT_PID, DATA_PID, PROGRAM, PRIVATE = 0x1000, 0x0100, 1, 0x06
@@ -123,69 +129,117 @@ def mux(payload: bytes) -> bytes:
 
 
 class Demuxed:
-    """What a stream holds: payload, pts (ticks of each unit), random_access (indexes of units), discontinuities,
-    packets, program, pid, stream_type."""
+    """What an elementary stream holds: payload, pts (ticks of each unit), random_access (indexes of units),
+    discontinuities, packets (of the whole transport stream), program, pid, stream_type."""
 
     __slots__ = ("payload", "pts", "random_access", "discontinuities", "packets", "program", "pid", "stream_type")
 
 
-def _sections(rows: np.ndarray, pid: int, pids: np.ndarray, begins: np.ndarray) -> bytes:
-    at = np.flatnonzero((pids == pid) & (rows[:, 1] & 0x40 > 0))
-    if not len(at):
-        raise ValueError(f"no table with PID {pid}")
-    row, begin = rows[at[0]], int(begins[at[0]])
-    begin += 1 + int(row[begin])
-    size = 3 + (int(row[begin + 1]) << 8 & 0xF00 | int(row[begin + 2]))
-    section = row[begin : begin + size].tobytes()
-    if len(section) < size or section_crc(section):
-        raise ValueError(f"the table with PID {pid} has a wrong checksum")
-    return section
+class Packets:
+    """The packets of a transport stream, and the elementary streams that its tables name: (program, type, PID)."""
+
+    def __init__(self, data: bytes):
+        if not data or len(data) % PACKET:
+            raise ValueError("not a whole number of packets")
+        rows = np.frombuffer(data, np.uint8).reshape(-1, PACKET)
+        if (rows[:, 0] != SYNC).any():
+            raise ValueError("a packet does not begin with the sync byte")
+        self.rows = rows
+        self.pids = (rows[:, 1].astype(np.int32) & 0x1F) << 8 | rows[:, 2]
+        self.has_field, self.has_payload = rows[:, 3] & 0x20 > 0, rows[:, 3] & 0x10 > 0
+        self.begins = np.where(self.has_field, 5 + rows[:, 4].astype(np.int32), 4)
+        self.streams: list[tuple[int, int, int]] = []
+        pat = self._section(0)
+        for at in range(8, len(pat) - 4, 4):
+            program, pid = int.from_bytes(pat[at : at + 2], "big"), int.from_bytes(pat[at + 2 : at + 4], "big") & 0x1FFF
+            if program:
+                pmt = self._section(pid)
+                at = 12 + (int.from_bytes(pmt[10:12], "big") & 0xFFF)
+                while at < len(pmt) - 4:
+                    self.streams.append((program, pmt[at], int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF))
+                    at += 5 + (int.from_bytes(pmt[at + 3 : at + 5], "big") & 0xFFF)
+        if not self.streams:
+            raise ValueError("the tables name no elementary stream")
+
+    def _own(self, pid: int) -> np.ndarray:
+        """The packets of a PID that have a payload, without those that repeat the one before."""
+        own = np.flatnonzero((self.pids == pid) & self.has_payload)
+        same = np.zeros(len(own), bool)
+        same[1:] = (self.rows[own[1:]] == self.rows[own[:-1]]).all(axis=1)
+        return own[~same]
+
+    def _section(self, pid: int) -> bytes:
+        """The first table of a PID, of as many packets as it takes."""
+        held, size = b"", 0
+        for k in self._own(pid).tolist():
+            row, begin = self.rows[k], int(self.begins[k])
+            if row[1] & 0x40 and not held:
+                begin += 1 + int(row[begin])
+            elif not held:
+                continue
+            held += row[begin:].tobytes()
+            if len(held) >= 3:
+                size = 3 + (int.from_bytes(held[1:3], "big") & 0xFFF)
+                if len(held) >= size:
+                    break
+        if not size:
+            raise ValueError(f"no table with PID {pid}")
+        section = held[:size]
+        if len(section) < size or section_crc(section):
+            raise ValueError(f"the table with PID {pid} has a wrong checksum")
+        return section
+
+    def read(self, program: int, stream_type: int, pid: int) -> Demuxed:
+        out = Demuxed()
+        out.packets, out.program, out.stream_type, out.pid = len(self.rows), program, stream_type, pid
+        own = self._own(pid)
+        mine, begin = self.rows[own], np.minimum(self.begins[own], PACKET)
+        counters = mine[:, 3] & 0x0F
+        flags = np.where(self.has_field[own] & (mine[:, 4] > 0), mine[:, 5], 0)
+        breaks = np.flatnonzero(((np.diff(counters.astype(np.int16)) & 0x0F) != 1) & (flags[1:] & 0x80 == 0)) + 1
+        out.discontinuities = len(breaks)
+        sizes = PACKET - begin
+        ends = np.cumsum(sizes)
+        raw = mine[np.arange(PACKET) >= begin[:, None]].tobytes()
+        starts = np.flatnonzero(mine[:, 1] & 0x40)
+        if len(own) and (not len(starts) or starts[0]):
+            out.discontinuities += 1
+        parts, out.pts, out.random_access = [], [], []
+        for s, till in zip(starts.tolist(), np.append(starts[1:], len(own)).tolist()):
+            broken = breaks[np.searchsorted(breaks, s, "right") : np.searchsorted(breaks, till, "left")]
+            last = int(broken[0]) if len(broken) else till  # what comes after a break belongs elsewhere
+            unit = raw[int(ends[s] - sizes[s]) : int(ends[last - 1])]
+            if unit[:3] != b"\x00\x00\x01":
+                raise ValueError("an elementary packet does not begin with its start code")
+            size = int.from_bytes(unit[4:6], "big")
+            if not len(broken) and size and len(unit) != 6 + size:
+                out.discontinuities += 1
+            if len(unit) < 6 + size or not size and len(broken):
+                continue  # packets of this unit are missing
+            unit = unit[: 6 + size] if size else unit
+            t = unit[9:14] if unit[7] & 0x80 else None
+            if flags[s] & 0x40:
+                out.random_access.append(len(out.pts))
+            out.pts.append((t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1 if t else None)
+            parts.append(unit[9 + unit[8] :])
+        if not out.discontinuities and None not in out.pts:
+            step = np.diff(np.array(out.pts, np.int64))
+            if len(step) > 2 and (step > 0).all() and 2 * (step == np.median(step)).sum() > len(step):
+                out.discontinuities += int((step > 1.5 * np.median(step)).sum())
+        out.payload = b"".join(parts)
+        return out
 
 
 def demux(data: bytes) -> Demuxed:
-    if not data or len(data) % PACKET:
-        raise ValueError("not a whole number of packets")
-    rows = np.frombuffer(data, np.uint8).reshape(-1, PACKET)
-    if (rows[:, 0] != SYNC).any():
-        raise ValueError("a packet does not begin with the sync byte")
-    pids = (rows[:, 1].astype(np.int32) & 0x1F) << 8 | rows[:, 2]
-    has_field, has_payload = rows[:, 3] & 0x20 > 0, rows[:, 3] & 0x10 > 0
-    begins = np.where(has_field, 5 + rows[:, 4].astype(np.int32), 4)
-    out = Demuxed()
-    out.packets = len(rows)
-    pat = _sections(rows, 0, pids, begins)
-    out.program, pmt_pid = int.from_bytes(pat[8:10], "big"), int.from_bytes(pat[10:12], "big") & 0x1FFF
-    pmt = _sections(rows, pmt_pid, pids, begins)
-    at = 12 + (int.from_bytes(pmt[10:12], "big") & 0xFFF)
-    out.stream_type, out.pid = pmt[at], int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF
-    own = np.flatnonzero((pids == out.pid) & has_payload)
-    counters = rows[own, 3] & 0x0F
-    breaks = np.flatnonzero((np.diff(counters.astype(np.int16)) & 0x0F) != 1) + 1
-    out.discontinuities = len(breaks)
-    mine, begin = rows[own], begins[own]
-    data = mine[np.arange(PACKET) >= begin[:, None]]
-    sizes = np.maximum(PACKET - begin, 0)
-    starts = np.flatnonzero(mine[:, 1] & 0x40)
-    key = has_field[own] & (mine[:, 4] > 0) & (mine[:, 5] & 0x40 > 0)
-    ends = np.cumsum(sizes)
-    raw = data.tobytes()
-    parts, out.pts, out.random_access = [], [], []
-    for k, s in enumerate(starts.tolist()):
-        till = int(starts[k + 1]) if k + 1 < len(starts) else len(own)
-        if np.searchsorted(breaks, s, "right") < np.searchsorted(breaks, till - 1, "right"):
-            continue  # packets of this unit are missing
-        unit = raw[int(ends[s] - sizes[s]) : int(ends[till - 1])]
-        if unit[:3] != b"\x00\x00\x01":
-            raise ValueError("an elementary packet does not begin with its start code")
-        size = int.from_bytes(unit[4:6], "big")
-        unit = unit[: 6 + size] if size else unit
-        t = unit[9:14] if unit[7] & 0x80 else None
-        if key[s]:
-            out.random_access.append(len(out.pts))
-        out.pts.append((t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1 if t else None)
-        parts.append(unit[9 + unit[8] :])
-    out.payload = b"".join(parts)
-    return out
+    """The first elementary stream of the first program."""
+    packets = Packets(data)
+    return packets.read(*packets.streams[0])
+
+
+def demux_all(data: bytes) -> list[Demuxed]:
+    """Every elementary stream of every program."""
+    packets = Packets(data)
+    return [packets.read(*stream) for stream in packets.streams]
 
 
 def padded(text: bytes) -> bytes:
@@ -194,7 +248,7 @@ def padded(text: bytes) -> bytes:
 
 def encode_column(docs: DataFrame, keep: tuple = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns in keep, n_bytes (of the text), media (a stream that holds the padded text)."""
-    rows = docs.select(*keep, text_col)
+    rows = docs.select(*given(keep, ("n_bytes", "media")), text_col)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,28 +268,33 @@ def encode_column(docs: DataFrame, keep: tuple = ("doc_id",), text_col: str = "t
 _DECODED = "payload binary, pts array<long>, random_access array<int>, discontinuities int, packets int, program int, pid int, stream_type int, error string"
 
 
-def decode_column(streams: DataFrame, keep: tuple = ("doc_id",), media_col: str = "media") -> DataFrame:
+def decode_column(streams: DataFrame, keep: tuple = ("doc_id",), media_col: str = "media", every: bool = False) -> DataFrame:
     """The columns in keep and what each stream holds: payload, pts and random_access (indexes in pts) of its units,
-    discontinuities, packets, program, pid, stream_type, error."""
-    rows = streams.select(*keep, media_col)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    discontinuities, packets, program, pid, stream_type, error. A row for the first elementary stream of each transport
+    stream, or, with every, for each of them."""
     types = [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.int32()] * 5, pa.string()]
     names = [x.split(" ")[0] for x in _DECODED.split(", ")]
+    rows = streams.select(*given(keep, tuple(names)), media_col)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 1024):
-                part, out = batch.slice(first, 1024), []
-                for value in part.column(part.num_columns - 1):
-                    row, error = None, None
+                part, at, out = batch.slice(first, 1024), [], []
+                for k, value in enumerate(part.column(part.num_columns - 1)):
+                    found, error = [None], None
                     if value.is_valid:
+                        data = value.as_buffer().to_pybytes()
                         try:
-                            row = demux(value.as_buffer().to_pybytes())
+                            found = demux_all(data) if every else [demux(data)]
                         except (ValueError, IndexError) as e:
                             error = str(e)
-                    out.append([*(getattr(row, n) if row else None for n in names[:-1]), error])
+                    for row in found:
+                        at.append(k)
+                        out.append([*(getattr(row, n) if row else None for n in names[:-1]), error])
                 columns = list(zip(*out)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, t) for c, t in zip(columns, types))], [*part.schema.names[:-1], *names])
+                kept = [c.take(pa.array(at, pa.int64())) for c in part.columns[:-1]] if every else part.columns[:-1]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip(columns, types))], [*part.schema.names[:-1], *names])
 
     return rows.mapInArrow(each, f"{kinds}, {_DECODED}")
 
