@@ -4,18 +4,22 @@ A file is a sequence of Zstandard frames. The first is a skippable frame with th
 content is the dictionary; every frame after it is one WARC record, compressed with that dictionary and with its
 content size, so a record can be read knowing the dictionary and the frame's place only. The dictionary is built from
 a bounded sample of the records to be archived: SAMPLE_RECORDS of them, those with the lowest hash of page_id and
-html, and SAMPLE_BYTES of their bytes.
+html, until they have SAMPLE_BYTES; a page teaches with SAMPLE_BYTES / 16 characters of its html at most. The archive
+itself holds all of every page.
 
 Equal payloads are written once. Of the pages with one payload that with the largest page_id is a response, the
-others are revisits that refer to it; with min_bytes above 0, smaller payloads are all responses. Digests are
-aggregated by themselves, with partial sums, so that one payload on a third of all pages is a single row a task.
+others are revisits that refer to it; with min_bytes above 0, smaller payloads are all responses. Roles are found on
+digests alone: they are aggregated with partial sums, a payload on many pages is told to all tasks instead of gathering
+its pages, and bodies are dealt once, by page_id, to meet their roles.
 
 Writing tasks put files of about FILE_BYTES into the shared folder, named by attempt. The table of the files whose
 tasks were committed says which ones count, so a task that is repeated leaves no record twice.
 
 Defined cases. Null html is an empty payload. Rows that repeat a page_id and its payload get a record each; if the
 page is its payload's response, all of them are. A null page_id ranks below all others. A null url is written as
-`urn:sluice:none`. An empty table gives no files and an empty result.
+`urn:sluice:none`. A very long page is a record like any other, held whole by the task that writes or reads it. An empty
+table gives no files and an empty result. Columns other than page_id, url and html are not looked at, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import hash_below, new_folder, stored, table
+from sluice.llm.shared import beside_groups, hash_below, new_folder, stored, table
 
 MAGIC = 0x184D2A5D
 SAMPLE_RECORDS, SAMPLE_BYTES, DICT_BYTES = 2000, 8 << 20, 112 << 10
@@ -83,10 +87,10 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:n].partition(b"\r\n\r\n")[2]
 
 
-def dictionary(pages: DataFrame) -> bytes:
-    """A dictionary for records of pages (page_id, url, html), or no bytes if there is too little to learn from."""
+def dictionary(pages: DataFrame, total: int) -> bytes:
+    """A dictionary for records of `total` pages (page_id, url, html), or no bytes if there is too little to learn from."""
     key = F.xxhash64("page_id", "html")
-    near = pages.where(key <= hash_below(pages.count(), SAMPLE_RECORDS))
+    near = pages.where(key <= hash_below(total, SAMPLE_RECORDS))
     html = F.coalesce(F.substring("html", 1, SAMPLE_BYTES // 16), F.lit("")).alias("html")
     # Equal rows have equal keys: however often a page occurs, it is sampled once.
     one = near.select(key.alias("key"), "page_id", "url", html).groupBy("key").agg(F.min(F.struct("page_id", "url", "html")).alias("r"))
@@ -104,14 +108,17 @@ def dictionary(pages: DataFrame) -> bytes:
         return b""
 
 
-def _roles(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """pages (page_id, url, payload) with digest, the response's page_id and url, and revisit."""
-    sha = F.unhex(F.sha1("payload"))
-    rows = pages.withColumn("sha", sha).withColumn("n", F.octet_length("payload").cast("long"))
+def _roles(pages: DataFrame, min_bytes: int, total: int) -> DataFrame:
+    """pages (page_id, url, payload) with the response's page_id and url, and revisit."""
+    rows = pages.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("n", F.octet_length("payload").cast("long"))
     rank = F.coalesce("page_id", F.lit(-(1 << 63)))
-    of = rows.where(F.col("n") >= min_bytes).groupBy("sha", "n").agg(F.max(F.struct(rank.alias("rank"), "page_id", "url")).alias("to"), F.count(F.lit(1)).alias("copies"))
-    of = of.where("copies > 1").select(F.col("sha").alias("s"), F.col("n").alias("m"), "to")  # a payload of its own needs no join
-    out = rows.join(of, (F.col("sha") == F.col("s")) & (F.col("n") == F.col("m")), "left")
+    narrow = rows.where(F.col("n") >= min_bytes).select("page_id", "url", "sha", "n")
+    of = narrow.groupBy("sha", "n").agg(F.max(F.struct(rank.alias("rank"), "page_id", "url")).alias("to"), F.count(F.lit(1)).alias("copies"))
+    of = of.where("copies > 1")  # a payload of its own is a response
+    # Rows that repeat a page and its payload have the same role.
+    roles = beside_groups(narrow.select("page_id", "sha", "n").distinct(), of, ["sha", "n"], "copies", total)
+    roles = roles.select(F.col("page_id").alias("p"), F.col("sha").alias("s"), F.col("n").alias("m"), "to")
+    out = rows.join(roles, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")) & (F.col("n") == F.col("m")), "left")
     revisit = F.col("to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("to.page_id"))
     return out.select("page_id", "url", "payload", F.col("to.page_id").alias("to_id"), F.col("to.url").alias("to_url"), revisit.alias("revisit"))
 
@@ -122,9 +129,10 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = F
     Returns what was written, one row a file: name, records, bytes.
     """
     spark = pages.sparkSession
-    shared = spark.sparkContext.broadcast(dictionary(pages))
+    total = pages.count()
+    shared = spark.sparkContext.broadcast(dictionary(pages, total))
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")
-    rows = _roles(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload), min_bytes)
+    rows = _roles(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload), min_bytes, total)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
