@@ -6,13 +6,13 @@ hashes are broadcast; each document's windows are looked up while it streams by,
 words themselves. The set that is broadcast holds MAX_WINDOWS windows at most: a larger benchmark is dealt by hash
 into slices of that size, the documents are scanned once a slice, and the hits are put together by document.
 
-Defined cases. Null or empty text has no words and is clean. An empty benchmark makes every document clean. Equal
-items each count. Repeated rows are each judged. Columns other than the id and the text are not looked at.
+Defined cases. Null or empty text has no words and is clean. A very long text is worked on whole. An empty benchmark makes every document clean. Equal
+items each count. Repeated rows are each judged. Columns other than the id and the text are
+not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,8 +127,9 @@ def find(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, max_windows:
         parts = one if parts is None else parts.unionByName(one)
     covered = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("spans")), lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
     merged = parts.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.sort_array(covered).alias("w"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
-    begins = F.filter("w", lambda x: ~F.array_contains("w", x - 1))
-    ends = F.filter("w", lambda x: ~F.array_contains("w", x + 1))
+    # w is ascending: a run begins where the number before is not one less, and ends where the next is not one more.
+    begins = F.filter("w", lambda x, i: (i == 0) | (F.get("w", i - 1) != x - 1))
+    ends = F.filter("w", lambda x, i: (i == F.size("w") - 1) | (F.get("w", i + 1) != x + 1))
     spans = F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("length")))
     merged = merged.select("doc_id", "n_words", F.size("w").cast("long").alias("n_hit"), "item_ids", spans.alias("spans"))
     out = keyed.select("doc_id").join(merged.withColumnRenamed("doc_id", "k"), F.col("doc_id").eqNullSafe(F.col("k")))
@@ -177,14 +178,16 @@ def remove(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, whole: boo
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             changed: dict[int, str] = {}
-            for b in W.blocks(batch.column(at), W.ALNUM, lower=True):
-                edges = np.zeros(len(b.starts) + 1, np.int64)
-                for found in sets:  # one slice in memory after another: broadcast values are read from local disk
+            blocks = list(W.blocks(batch.column(at), W.ALNUM, lower=True))
+            changes = [np.zeros(len(b.starts) + 1, np.int64) for b in blocks]
+            for found in sets:  # one slice in memory after another: broadcast values are read from local disk
+                for b, edges in zip(blocks, changes):
                     for i, n, _ in found.value.hits(b):
                         edges[i] += 1
                         edges[i + n] -= 1
-                    if len(sets) > 1:
-                        vars(found).pop("_value", None)  # it is read again from the worker's disk
+                if len(sets) > 1:
+                    vars(found).pop("_value", None)  # it is read again from the worker's disk
+            for b, edges in zip(blocks, changes):
                 hit = np.cumsum(edges[:-1]) > 0
                 total = np.concatenate([[0], np.cumsum(hit)])
                 n_hit = total[b.first[1:]] - total[b.first[:-1]]
