@@ -32,7 +32,7 @@ from sluice.llm.shared import drop_folder, stored, table
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 #: As many documents of a source are sorted together at most, and into how many spans a wider span is divided.
-RANGE_ROWS, BINS = 50_000, 1024
+RANGE_ROWS, BINS = 4096, 1024
 #: Sources, and documents with weights of their own, that are broadcast to the documents at most. More are joined by
 #: a shuffle.
 SENT_SOURCES, SENT_WEIGHTS = 100_000, 500_000
