@@ -11,7 +11,9 @@ order. Tasks name files by attempt; the table of the files that were committed s
 ids before each, added up over groups of files first.
 
 Defined cases. A null text is empty: it has the end id alone. Rows that share a doc_id are stored in the order of
-their texts. A null doc_id comes first and is kept as null. An empty table gives no files and an empty result.
+their texts. A null doc_id comes first and is kept as null. A very long text is one entry of one file, whose ids a task
+holds whole. An empty table gives no files and an empty result. Columns other than the id and the text are not looked at,
+whatever their names.
 """
 
 from __future__ import annotations
