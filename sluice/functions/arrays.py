@@ -18,12 +18,18 @@ def at(a: Column | str, index: int) -> Column:
     return F.get(a, F.lit(index)) if index >= 0 else F.get(a, F.size(a) + index)
 
 
-def cut(a: Column | str, start: int | None = None, stop: int | None = None) -> Column:
-    """a[start:stop] with negative bounds counted from the end."""
+def cut(a: Column | str, start: Column | float | None = None, stop: Column | float | None = None) -> Column:
+    """a[start:stop] with negative bounds counted from the end; a fraction is rounded outwards."""
     a = _c(a)
     n = F.size(a)
-    bound = lambda i, default: default if i is None else (F.least(F.lit(i), n) if i >= 0 else F.greatest(n + i, F.lit(0)))
-    i, j = bound(start, F.lit(0)), bound(stop, n)
+
+    def bound(i: Column | float | None, default: Column, outwards: Callable) -> Column:
+        if i is None:
+            return default
+        i = outwards(i if isinstance(i, Column) else F.lit(float(i))).cast("int")
+        return F.when(i < 0, F.greatest(n + i, F.lit(0))).otherwise(F.least(i, n))
+
+    i, j = bound(start, F.lit(0), F.floor), bound(stop, n, F.ceil)
     return F.slice(a, i + 1, F.greatest(j - i, F.lit(0)))
 
 

@@ -408,3 +408,110 @@ def pretty(value, width: int = 2, at: int = 0) -> str:
 def indented(doc: Column | str, width: int = 2) -> Column:
     """The document on several lines."""
     return _each(doc, "string", lambda d: pretty(d, width))
+
+
+# Every part of a document
+
+
+def every(value, path: tuple = ()) -> Iterator[tuple[tuple, object]]:
+    """Paths and values of the document and of all that is in it, parents first."""
+    yield path, value
+    for key, child in value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ():
+        yield from every(child, (*path, key))
+
+
+def values(doc: Column | str) -> Column:
+    """array<string>: the document and all that is in it, as JSON, parents first."""
+    return _each(doc, "array<string>", lambda d: [dump(v) for _, v in every(d)])
+
+
+def find_paths(doc: Column | str, holds_at: Callable) -> Column:
+    """array<string>: the paths, as JSON, of the parts for which a function of path and value is true."""
+    return _each(doc, "array<string>", lambda d: [dump(list(p)) for p, v in every(d) if p and holds_at(p, v)])
+
+
+def walk_paths(doc: Column | str, change: Callable) -> Column:
+    """The document changed from the bottom up by a function of path and value."""
+
+    def of(value, path: tuple = ()):
+        if isinstance(value, dict):
+            value = {k: of(v, (*path, k)) for k, v in value.items()}
+        elif isinstance(value, list):
+            value = [of(v, (*path, i)) for i, v in enumerate(value)]
+        return change(path, value)
+
+    return _each(doc, "string", lambda d: dump(of(d)))
+
+
+# Texts in a format
+
+
+def parse(text: Column | str, kind: str) -> Column:
+    """array<string>: the documents, as JSON, that a text holds in a format: json, jsonl or tsv (rows of texts)."""
+    text = _c(text)
+    lines = F.filter(F.split(text, "\r?\n", -1), lambda x: F.trim(x) != "")
+    if kind == "json":
+        return F.when(text.isNotNull(), F.array(F.trim(text)))
+    if kind == "jsonl":
+        return F.transform(lines, lambda x: F.trim(x))
+    if kind == "tsv":
+        return F.transform(lines, lambda x: F.to_json(F.split(x, "\t", -1)))
+    raise ValueError(f"{kind} texts are read from files")
+
+
+def render(docs: Column | str, kind: str) -> Column:
+    """The text of an array<string> of documents in a format: json (several lines each) or jsonl."""
+    if kind not in ("json", "jsonl"):
+        raise ValueError(f"{kind} texts are written to files")
+    write = pretty if kind == "json" else dump
+
+    @F.pandas_udf("string")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda r: None if r is None else "".join(write(load(d)) + "\n" for d in r))
+
+    return run(_c(docs))
+
+
+# TOML
+
+
+def _toml(value) -> str:
+    """A value inside a line."""
+    if isinstance(value, dict):
+        return "{ " + ", ".join(f"{_toml_key(k)} = {_toml(v)}" for k, v in value.items()) + " }" if value else "{}"
+    if isinstance(value, list):
+        return "[" + ", ".join(map(_toml, value)) + "]"
+    if value is None:
+        raise ValueError("TOML has no null")
+    if isinstance(value, str):
+        return json.dumps(value, ensure_ascii=False).replace("\x7f", "\\u007f")
+    out = dump(value)
+    return out if isinstance(value, (bool, int)) or set(out) & set(".eE") else out + ".0"
+
+
+def _toml_key(key: str) -> str:
+    return key if key and all(c.isascii() and (c.isalnum() or c in "_-") for c in key) else json.dumps(key, ensure_ascii=False)
+
+
+def _toml_tables(value: dict, path: tuple = ()) -> Iterator[str]:
+    """Plain keys first, then tables and rows of tables under their names."""
+    tables = {k: v for k, v in value.items() if isinstance(v, dict) or isinstance(v, list) and v and all(isinstance(x, dict) for x in v)}
+    for k, v in value.items():
+        if k not in tables:
+            yield f"{_toml_key(k)} = {_toml(v)}"
+    for k, v in tables.items():
+        name = ".".join(map(_toml_key, (*path, k)))
+        for one in v if isinstance(v, list) else [v]:
+            yield f"[[{name}]]" if isinstance(v, list) else f"[{name}]"
+            yield from _toml_tables(one, (*path, k))
+
+
+def toml(doc: Column | str) -> Column:
+    """The document, an object, in TOML."""
+
+    def of(d) -> str:
+        if not isinstance(d, dict):
+            raise ValueError("toml output requires an object at the document root")
+        return "\n".join(_toml_tables(d))
+
+    return _each(doc, "string", of)

@@ -74,6 +74,15 @@ def indices(s: Column | str, needle: str) -> Column:
     return F.filter(at, lambda i: F.substr(s, i + 1, F.lit(n)) == needle)
 
 
+def cut(s: Column | str, start: int | None = None, stop: int | None = None) -> Column:
+    """s[start:stop] by characters, with negative bounds counted from the end."""
+    s = _c(s)
+    n = F.length(s)
+    bound = lambda i, default: default if i is None else (F.least(F.lit(i), n) if i >= 0 else F.greatest(n + i, F.lit(0)))
+    i, j = bound(start, F.lit(0)), bound(stop, n)
+    return F.substr(s, i + 1, F.greatest(j - i, F.lit(0)))
+
+
 def code_points(s: Column | str) -> Column:
     s = _c(s)
     return F.when(s == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(s, "", -1), F.ascii))
@@ -151,6 +160,14 @@ def capture(s: Column | str, pattern: str, flags: str = "") -> Column:
     return F.when(F.rlike(_c(s), F.lit(plain)), F.struct(*[F.regexp_extract(_c(s), plain, i).alias(n) for n, i in order]))
 
 
+def capture_all(s: Column | str, pattern: str, flags: str = "") -> Column:
+    """array<map<string,string>>: the named groups of every match, null for one that took no part."""
+    names = {i: n for n, i in _groups(pattern).groupindex.items()}
+    keys = F.array(*[F.lit(names[i]) for i in sorted(names)])
+    own = lambda m: F.array(*[F.get(m["captures"], F.lit(i - 1))["string"] for i in sorted(names)])
+    return F.transform(match(s, pattern, flags + "g"), lambda m: F.map_from_arrays(keys, own(m)))
+
+
 def match(s: Column | str, pattern: str, flags: str = "") -> Column:
     """array<struct<offset,length,string,captures>>: the first match, or with flag g all. No built-in gives offsets, so
     this is an Arrow-batched function; it takes classes as \\p{L} as test() does."""

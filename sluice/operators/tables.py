@@ -139,6 +139,25 @@ def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def nth(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The row at place n (from 0) in an order; none if there are fewer."""
+    return df.orderBy(*order).offset(n).limit(1)
+
+
+def skip(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The rows after the first n in an order of columns, which tells all rows apart: those that lie beyond the n-th."""
+    if n <= 0:
+        return df
+    place = F.struct(*[F.col(f"`{c}`") for c in order])
+    first = df.select(*order).orderBy(*order).limit(n).agg(F.max(place).alias("__cut"), F.count(F.lit(1)).alias("__n"))
+    return df.join(F.broadcast(first)).where((F.col("__n") == n) & (place > F.col("__cut"))).drop("__cut", "__n")  # one row
+
+
+def is_empty(df: DataFrame) -> DataFrame:
+    """`empty`: whether there are no rows; one row is looked for."""
+    return df.limit(1).agg((F.count(F.lit(1)) == 0).alias("empty"))
+
+
 def top_each(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:
     """The first n rows of each group; tasks keep n of a group before they shuffle."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -224,3 +224,41 @@ def files_in_order(t):
 def inferred_cells(t):
     cell = F.element_at(F.array(k().cast("string"), F.lit("true"), F.col("event_type"), F.concat(F.lit("0"), k().cast("string"))), (F.col("event_id") % 4 + 1).cast("int"))
     return t("events").select("event_id", readers.inferred(cell).alias("cell"))
+
+
+@query(f"""SELECT event_id, ['{{"a":[' || {K} || ',{{"b":1}}]}}', '[' || {K} || ',{{"b":1}}]', CAST({K} AS VARCHAR), '{{"b":1}}', '1'] AS every, CASE WHEN {K} > 50 THEN ['["a",0]'] ELSE [] END AS large,
+'{{"a":["a.0=' || {K} || '",{{"b":"a.1.b=1"}}]}}' AS walked FROM events""")
+def every_part_of_documents(t):
+    doc = F.concat(F.lit('{"a":['), k().cast("string"), F.lit(',{"b":1}]}'))
+    large = documents.find_paths(doc, lambda path, v: isinstance(v, int) and v > 50)
+    walked = documents.walk_paths(doc, lambda path, v: f"{'.'.join(map(str, path))}={v}" if isinstance(v, int) else v)
+    return t("events").select("event_id", documents.values(doc).alias("every"), large.alias("large"), walked.alias("walked"))
+
+
+@query(f"""SELECT event_id, [props, '[1]'] AS parsed, '{{"k":' || {K} || '}}' || chr(10) || '[1]' || chr(10) AS lines, '{{' || chr(10) || '  "k": ' || {K} || chr(10) || '}}' || chr(10) AS pretty, '["' || event_type || '","x"]' AS cells FROM events""")
+def parse_and_render(t):
+    parsed = documents.parse(F.concat("props", F.lit("\n\n [1] \n")), "jsonl")
+    cells = documents.parse(F.concat("event_type", F.lit("\tx\n")), "tsv")
+    return t("events").select("event_id", parsed.alias("parsed"), documents.render(parsed, "jsonl").alias("lines"), documents.render(documents.parse("props", "json"), "json").alias("pretty"), F.get(cells, F.lit(0)).alias("cells"))
+
+
+@query(f"""SELECT event_id, 'k = ' || {K} || chr(10) || 'l = [1, 2]' || chr(10) || '[t]' || chr(10) || '"a b" = "' || event_type || '"' || chr(10) || '[[t.r]]' || chr(10) || 'x = true' AS doc FROM events""")
+def toml_documents(t):
+    doc = F.concat(F.lit('{"k":'), k().cast("string"), F.lit(',"t":{"a b":"'), F.col("event_type"), F.lit('","r":[{"x":true}]},"l":[1,2]}'))
+    return t("events").select("event_id", documents.toml(doc).alias("doc"))
+
+
+@query("""SELECT n_nationkey, '{"id":"' || n_nationkey || '","name":"' || n_name || '"}' AS doc FROM nation""")
+def csv_headers(t):
+    rows = t("nation").select((F.col("n_nationkey") + 1).alias("line"), F.array(F.col("n_nationkey").cast("string"), "n_name").alias("row"))
+    head = rows.sparkSession.createDataFrame([(0, ["id", "name"])], "line int, row array<string>")
+    docs = readers.csv_header(head.unionByName(rows), ["line"])
+    return docs.select(paths.get_path("doc", ["id"]).cast("int").alias("n_nationkey"), "doc")
+
+
+@query("SELECT 'page ' || page_id || ' at ' || url AS line FROM pages WHERE page_id % 3 <> 0")
+def raw_lines(t):
+    rows = t("pages").where("page_id % 3 <> 0").select(F.concat(F.lit("page "), F.col("page_id").cast("string"), F.lit(" at "), "url").alias("value"))
+    at = folder(rows.sparkSession)
+    sinks.write_lines(rows, at)
+    return readers.read_lines(rows.sparkSession, at).select("line")

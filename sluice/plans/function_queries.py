@@ -211,3 +211,58 @@ def union_all_balances(t):
 def percentiles_by_priority(t):
     rows = T.statistics(t("orders"), ["o_orderpriority"], "o_totalprice", (25, 99))
     return rows.select("o_orderpriority", F.round("p25", 6).alias("p25"), F.round("p99", 6).alias("p99"))
+
+
+@query("""SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1 OFFSET 9""")
+def nth_order(t):
+    return T.nth(t("orders").select("o_orderkey", "o_totalprice"), 9, F.desc("o_totalprice"), F.asc("o_orderkey"))
+
+
+@query("""SELECT c_custkey, c_acctbal FROM (SELECT *, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS n FROM customer) WHERE n > 100""")
+def skipped_customers(t):
+    return T.skip(t("customer").select("c_custkey", "c_acctbal"), 100, ["c_acctbal", "c_custkey"])
+
+
+@query("""SELECT count(*) = 0 AS empty FROM orders WHERE o_totalprice < 0""")
+def is_empty(t):
+    return T.is_empty(t("orders").where("o_totalprice < 0"))
+
+
+@query("""SELECT p_partkey, p_name[2:4] AS middle, p_name[-3:] AS tail, p_name[:-3] AS start FROM part""")
+def cuts_of_texts(t):
+    return t("part").select("p_partkey", strings.cut("p_name", 1, 4).alias("middle"), strings.cut("p_name", -3).alias("tail"), strings.cut("p_name", None, -2).alias("start"))
+
+
+@query("""SELECT p_partkey, list_transform(regexp_extract_all(p_name, '[a-z]+'), lambda w: w[1]) AS heads, list_transform(regexp_extract_all(p_name, '[a-z]+'), lambda w: w[2:]) AS rests FROM part""")
+def capture_every_match(t):
+    found = strings.capture_all("p_name", "(?<head>[a-z])(?<rest>[a-z]*)")
+    return t("part").select("p_partkey", F.transform(found, lambda m: m["head"]).alias("heads"), F.transform(found, lambda m: m["rest"]).alias("rests"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(NULL AS VARCHAR) AS none FROM orders""")
+def dates_from_texts(t):
+    text = F.date_format(F.col("o_orderdate"), "yyyy-MM-dd'T'HH:mm")
+    return t("orders").select("o_orderkey", F.date_format(dates.to_datetime(text), "yyyy-MM-dd").alias("day"), F.date_format(dates.to_datetime(F.lit("soon")), "yyyy-MM-dd").alias("none"))
+
+
+@query("""SELECT event_id, '"' || event_type || '"' AS json, event_type AS text, CAST(user_id AS VARCHAR) AS number, 'sh ''' || event_type || ''' ''x y''' AS shell FROM events""")
+def text_and_json(t):
+    shell = F.concat(F.lit("sh "), formats.sh_words(F.array("event_type", F.lit("x y"))))
+    return t("events").select("event_id", formats.filled("json", "{}", "event_type").alias("json"), formats.text("event_type").alias("text"), formats.text("user_id").alias("number"), shell.alias("shell"))
+
+
+@query("""SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey AND o_totalprice > c_acctbal * 30""")
+def theta_join(t):
+    """An equal key and a condition: the key deals the rows, the condition is checked where they meet."""
+    return t("customer").join(t("orders"), (F.col("c_custkey") == F.col("o_custkey")) & (F.col("o_totalprice") > F.col("c_acctbal") * 30)).select("c_custkey", "o_orderkey")
+
+
+@query("""SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names, count(*) AS n FROM nation GROUP BY ALL""")
+def joined_names(t):
+    rows = T.group_by(t("nation").select("n_regionkey", "n_name"), ["n_regionkey"], ["n_name"])
+    return rows.select("n_regionkey", strings.join_values(F.transform("rows", lambda r: r["n_name"]), "|").alias("names"), F.size("rows").cast("long").alias("n"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS BIGINT) AS state FROM lineitem""")
+def foreach_running_sum(t):
+    return T.running(t("lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_extendedprice"], F.sum(F.col("l_quantity").cast("long"))).select("l_orderkey", "l_linenumber", "state")

@@ -122,6 +122,15 @@ def with_header(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.select(*[F.get("row", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
+def csv_header(rows: DataFrame, order: list[str]) -> DataFrame:
+    """`doc`: rows of cells (row) as JSON objects whose keys are the cells of the first row in an order."""
+    place = F.struct(*order)
+    head = rows.agg(F.min_by("row", place).alias("__names"), F.min(place).alias("__first"))
+    named = rows.join(F.broadcast(head)).where(place > F.col("__first"))  # the head is one row
+    cells = F.map_from_arrays("__names", F.transform("__names", lambda _, i: F.get("row", i)))
+    return named.select(F.to_json(cells, {"ignoreNullFields": "false"}).alias("doc"))
+
+
 def _tabular(head: str, separator: str) -> bool:
     """Two rows or more of as many cells, two or more."""
     rows = list(csv.reader(head.splitlines(), delimiter=separator, quoting=csv.QUOTE_MINIMAL if separator == "," else csv.QUOTE_NONE))

@@ -61,6 +61,11 @@ def to_json(docs: DataFrame, doc: str = "doc", width: int | None = 2) -> DataFra
     return docs.select((documents.indented(doc, width) if width else documents.update(doc, [], lambda v: v)).alias("value"))
 
 
+def to_toml(docs: DataFrame, doc: str = "doc") -> DataFrame:
+    """`value`: each document, an object, in TOML."""
+    return docs.select(documents.toml(doc).alias("value"))
+
+
 def table(df: DataFrame, rows: int = 100) -> str:
     """The first rows as a text table: widths by characters, numbers to the right, control characters escaped. A last
     line says so if there are more rows."""

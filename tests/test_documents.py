@@ -146,3 +146,23 @@ def test_all_hours_of_a_stream(spark, tmp_path):
     """Events that all lie in one hour, whose window never closes."""
     spark.createDataFrame([(1, "2024-01-01 10:00:00", "a"), (2, "2024-01-01 10:59:00", "a")], "event_id long, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
     assert [tuple(r) for r in queries.stream_counts(spark, str(tmp_path)).collect()] == [("2024-01-01 10:00:00", "a", 2)]
+
+
+def test_every_part_and_toml(spark, one):
+    import tomllib
+
+    doc = '{"a":[1.5,true],"t":{"x":"q\\"\\n","e":{},"u":[{"n":1},{"n":2}]},"é":[],"m":[{"k":1},2]}'
+    text = one(documents.toml("d"), d=("string", doc))
+    assert tomllib.loads(text) == {"a": [1.5, True], "t": {"x": 'q"\n', "e": {}, "u": [{"n": 1}, {"n": 2}]}, "é": [], "m": [{"k": 1}, 2]}
+    for wrong in ("[1]", '{"a":null}'):
+        with pytest.raises(PythonException):
+            one(documents.toml("d"), d=("string", wrong))
+    assert one(documents.values("d"), d=("string", "[1,[]]")) == ["[1,[]]", "1", "[]"]
+    assert one(documents.parse("s", "tsv"), s=("string", "a\t\n\nb\n")) == ['["a",""]', '["b"]']
+    rows = spark.createDataFrame([(2, ["x", "1"]), (1, ["k", "v"]), (3, ["y"])], "i int, row array<string>")
+    assert sorted(r["doc"] for r in readers.csv_header(rows, ["i"]).collect()) == ['{"k":"x","v":"1"}', '{"k":"y","v":null}']
+    numbers_ = spark.createDataFrame([(i,) for i in range(7)], "i int")
+    assert sorted(r["i"] for r in T.skip(numbers_, 5, ["i"]).collect()) == [5, 6] and T.skip(numbers_, 9, ["i"]).count() == 0 and T.nth(numbers_, 9, F.asc("i")).count() == 0
+    assert one(strings.cut("s", -2, None), s=("string", "é🙂x")) == "🙂x" and one(strings.cut("s", 2, 1), s=("string", "abc")) == ""
+    assert one(arrays.cut("a", 0.5, 1.5), a=("array<int>", [1, 2, 3])) == [1, 2] and one(arrays.cut("a", F.lit(-1)), a=("array<int>", [1, 2, 3])) == [3]
+    assert one(strings.capture_all("s", "(?<x>a)|(?<y>b)"), s=("string", "ab")) == [{"x": "a", "y": None}, {"x": None, "y": "b"}]
