@@ -10,7 +10,8 @@ to buckets. Two sets that overlap by 0.85 miss each other in all 20 bands of 4 w
 
 Linking, in steps that each move little and never gather an unbounded group:
 
-1. Equal sets (by size and a 128-bit hash) stand for one: the smallest doc_id. All below is about such classes.
+1. Equal sets (by size and a 128-bit hash) stand for one: the smallest doc_id. All below is about such classes; copies
+   get their class's component at the end, by the set. A class with very many copies is told to all tasks then.
 2. Buckets are counted by hash; those with one class go. Buckets with the same members (by count and a hash of the
    members) are one.
 3. What is left joins the classes' sets. A bucket of over 2 * BLOCK classes is dealt into parts of about BLOCK classes,
@@ -351,10 +352,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = stored(_buckets(classes), "buckets")
     meet = classes.select("doc_id", "set1", "set2", "sig").join(buckets.withColumnRenamed("buckets", "more"), "doc_id")
     edges = links(parted(_sets(docs, meet, id_col, text_col), block), ratio)
-    # members of a class, and rows that share a doc_id, hang on the class's first
-    copied = classes.where("copies > 1").select(F.col("doc_id").alias("b"), "copies", *same)
-    copies = beside_groups(own.select("doc_id", *same), copied, same, "copies", rows.count()).select(F.col("doc_id").alias("a"), "b")
-    found = components(edges.unionByName(copies))
+    # Rows that share a doc_id but have different sets connect their classes; other members need no edge.
+    ids = own.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("lo"), F.max(F.struct(*same)).alias("hi")).where("lo != hi").select("doc_id")
+    shared = own.join(ids, "doc_id").select("doc_id", *same).distinct().join(classes.select(F.col("doc_id").alias("b"), *same), same).select(F.col("doc_id").alias("a"), "b")
+    found = components(edges.unionByName(shared))
     used = [rows, classes, buckets, found]
     if buckets.where(F.exists("buckets", lambda x: x["size"] > 2 * block)).limit(1).count():
         left = stored(_unsettled(buckets, found, block), "unsettled")
@@ -364,10 +365,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = links(paired(sets.drop("more").join(rare.withColumnRenamed("buckets", "more"), "doc_id"), block), ratio)
         found = components(found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(more))
         used += [left, sets, rare, found]
-    of = found.select(F.col("doc_id").alias("d"), "component_id")
-    out = rows.select("doc_id", "n_shingles").join(of, F.col("doc_id") == F.col("d"), "left")
-    component = F.coalesce("component_id", "doc_id")
-    out = stored(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "components")
+    # A class's component is that of its first member, which is brought to the rows by the set, not by the member.
+    of = classes.join(found, "doc_id", "left").select(*same, "copies", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = beside_groups(own.select("doc_id", *same), of, same, "copies", rows.count(), how="left").select("doc_id", "n_shingles", "component_id")
+    alone = rows.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = out.unionByName(alone)
+    out = stored(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "components")
     for x in used:
         drop_folder(spark, x.stored_at)
     return out

@@ -98,15 +98,16 @@ def pieces(rows: int, each: int) -> int:
     return max(1, -(-int(rows or 0) // each))
 
 
-def beside_groups(rows: DataFrame, groups: DataFrame, keys: list[str], members: str, total: int, least: int = 10_000) -> DataFrame:
-    """rows joined with groups (a row for each key; members: how many of `total` rows have it).
+def beside_groups(rows: DataFrame, groups: DataFrame, keys: list[str], members: str, total: int, least: int = 10_000, how: str = "inner") -> DataFrame:
+    """rows joined with groups (a row for each key; members: how many of `total` rows have it), inner or left.
 
     Keys that more than a 1,000th of the rows have, and `least` rows, are fewer than 1,000, and are broadcast: their
     rows stay where they are. The other keys' rows are dealt by key.
     """
     most = max(least, total // 1000)
     hot, cold = groups.where(F.col(members) > most), groups.where(F.col(members) <= most)
-    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
 
 
 def hash_below(rows: int, wanted: int, spare: int = 4) -> int:
