@@ -43,16 +43,16 @@ GROUP = 1024
 
 def encode(ids: np.ndarray) -> list[tuple[bytes, bytes, bytes]]:
     """For each level: chunks, bitmap, rank directory (the last two empty for the last level)."""
-    levels, rest = [], ids.astype(np.uint32)
+    levels, rest = [], ids.astype(np.uint32, copy=False)
     while True:
         chunks = (rest & np.uint32(0xFF)).astype(np.uint8).tobytes()
         on = rest > 0xFF
         if not on.any():
             levels.append((chunks, b"", b""))
             return levels
-        bits = np.packbits(np.concatenate([on, np.zeros(-len(on) % RANK, bool)]), bitorder="little")
-        ones = np.add.reduceat(np.concatenate([on, np.zeros(-len(on) % RANK, bool)]).astype(np.uint32), np.arange(0, len(bits) * 8, RANK))
-        levels.append((chunks, bits.tobytes(), (np.cumsum(ones) - ones).astype("<u4").tobytes()))
+        filled = np.concatenate([on, np.zeros(-len(on) % RANK, bool)])
+        ones = np.count_nonzero(filled.reshape(-1, RANK), axis=1)
+        levels.append((chunks, np.packbits(filled, bitorder="little").tobytes(), (np.cumsum(ones) - ones).astype("<u4").tobytes()))
         rest = rest[on] >> np.uint32(BITS)
 
 
@@ -134,10 +134,11 @@ def write(docs: DataFrame, folder: str, path: str | None = None, file_ids: int =
 
         def close() -> None:
             if names:
-                starts = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+                starts, ids = np.concatenate([[0], np.cumsum(np.concatenate(counts))]), np.concatenate(parts)
+                parts.clear()
                 name = f"part-{task.partitionId():05d}-{len(done):03d}-{task.taskAttemptId()}.dac"
                 with store.open_output_stream(f"{root}/{name}") as out:
-                    out.write(pack(names, starts, np.concatenate(parts)))
+                    out.write(pack(names, starts, ids))
                 done.append((name, task.partitionId(), len(done), len(names), int(starts[-1])))
             names.clear(), parts.clear(), counts.clear()
 

@@ -38,7 +38,7 @@ from sluice.llm.shared import crc_fold, given, hash_below, pieces, table
 #: Where very many rows of a language share few ids, its sample may come short of SAMPLE_TEXTS.
 SAMPLE_TEXTS, DICT_BYTES, TEXT_PART = 400, 1 << 18, 16
 #: Languages whose compressors a task holds at a time, and bytes of texts that it judges by them in turn.
-SLICE, TOGETHER = 64, 8 << 20
+SLICE, TOGETHER = 64, 2 << 20
 #: The compressors' parameters.
 _HOW = {"strategy": zstandard.STRATEGY_BTLAZY2, "min_match": 3, "search_log": 4, "chain_log": 19, "hash_log": 17}
 #: Bytes of a piece; with DICT_BYTES it stays within the compressors' window.
