@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -18,3 +19,11 @@ def checkpoints(spark: SparkSession) -> str:
     if not have:
         spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="sluice-"))
     return (named or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A name for a new folder there; it is deleted when the session's JVM ends."""
+    path = f"{checkpoints(spark)}/sluice-{label}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sluice.functions import documents, formats, paths
 from sluice.functions.documents import GONE
 from sluice.operators import tables as T
-from sluice.operators.scratch import checkpoints
+from sluice.operators.scratch import new_folder
 from sluice.plans.registry import query
 from sluice.sources import documents as readers
 from sluice.sources import sinks
@@ -168,14 +166,10 @@ def format_strings(t):
 # Files
 
 
-def folder(spark) -> str:
-    return f"{checkpoints(spark)}/files-{uuid.uuid4().hex}"
-
-
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer")
 def jsonl_round_trip(t):
     rows = t("customer").select("c_custkey", "c_name", "c_acctbal")
-    at = folder(rows.sparkSession)
+    at = new_folder(rows.sparkSession, "files")
     sinks.write_lines(sinks.to_jsonl(rows), at)
     return readers.read_jsonl(rows.sparkSession, at, "c_custkey long, c_name string, c_acctbal double")
 
@@ -183,7 +177,7 @@ def jsonl_round_trip(t):
 @query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || ', \"' || p_type || '\"' AS name FROM part")
 def csv_round_trip(t):
     rows = t("part").select("p_partkey", F.concat("p_name", F.lit(', "'), "p_type", F.lit('"')).alias("name"))
-    at = folder(rows.sparkSession)
+    at = new_folder(rows.sparkSession, "files")
     sinks.write_lines(sinks.to_csv(rows), at)
     return readers.with_header(readers.read_csv(rows.sparkSession, at), ["id", "name"])
 
@@ -191,7 +185,7 @@ def csv_round_trip(t):
 @query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || chr(9) || chr(92) || 't' || chr(10) || p_type || chr(92) AS name FROM part")
 def tsv_round_trip(t):
     rows = t("part").select("p_partkey", F.concat("p_name", F.lit("\t\\t\n"), "p_type", F.lit("\\")).alias("name"))
-    at = folder(rows.sparkSession)
+    at = new_folder(rows.sparkSession, "files")
     sinks.write_lines(sinks.to_tsv(rows), at)
     return readers.with_header(readers.read_tsv(rows.sparkSession, at), ["id", "name"])
 
@@ -200,7 +194,7 @@ def tsv_round_trip(t):
 def json_files(t):
     """A file for each nation, on several lines, read whole."""
     rows = t("nation").select(F.to_json(F.struct("n_name", "n_regionkey")).alias("doc"))
-    at = folder(rows.sparkSession)
+    at = new_folder(rows.sparkSession, "files")
     for part, value in enumerate(rows.orderBy("doc").collect()):  # 25 rows
         sinks.write_lines(sinks.to_json(rows.sparkSession.createDataFrame([(value["doc"],)], "doc string")).coalesce(1), f"{at}/n={part}")
     docs = readers.read_json(rows.sparkSession, f"{at}/*")
@@ -259,6 +253,19 @@ def csv_headers(t):
 @query("SELECT 'page ' || page_id || ' at ' || url AS line FROM pages WHERE page_id % 3 <> 0")
 def raw_lines(t):
     rows = t("pages").where("page_id % 3 <> 0").select(F.concat(F.lit("page "), F.col("page_id").cast("string"), F.lit(" at "), "url").alias("value"))
-    at = folder(rows.sparkSession)
+    at = new_folder(rows.sparkSession, "files")
     sinks.write_lines(rows, at)
     return readers.read_lines(rows.sparkSession, at).select("line")
+
+
+@query(f"""SELECT event_id, '{{"k":{{"z":1}},"t":"' || event_type || '"}}' AS shallow, '{{"a":{{"x":' || {K} || ',"y":2}},"b":3}}' AS deep FROM events""")
+def merge_documents(t):
+    right = F.concat(F.lit('{"k":{"z":1},"t":"'), "event_type", F.lit('"}'))
+    left = F.concat(F.lit('{"a":{"x":'), k().cast("string"), F.lit('},"b":1}'))
+    return t("events").select("event_id", paths.merge("props", right, deep=False).alias("shallow"), paths.merge(left, F.lit('{"a":{"y":2},"b":3}')).alias("deep"))
+
+
+@query(f"""SELECT event_id, unnest(['["a"]', '["a",0]', '["a",1]', '["a",1,"b"]']) AS path, unnest(['[' || {K} || ',{{"b":null}}]', CAST({K} AS VARCHAR), '{{"b":null}}', 'null']) AS value FROM events""")
+def all_paths(t):
+    doc = F.concat(F.lit('{"a":['), k().cast("string"), F.lit(',{"b":null}]}'))
+    return t("events").select("event_id", F.explode(paths.paths(doc)).alias("p")).select("event_id", "p.path", "p.value")

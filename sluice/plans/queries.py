@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions import arrays, dates, formats, numbers, paths, strings
 from sluice.operators import tables as T
-from sluice.operators.scratch import checkpoints
+from sluice.operators.scratch import new_folder
 from sluice.plans import document_queries, function_queries  # noqa: F401  enter their own
 from sluice.plans.registry import ORACLE_SQL, QUERIES, query
+from sluice.sources import documents, sinks
 from sluice.streaming import lines
 
 
@@ -255,7 +254,7 @@ def conversation_roles(t):
 
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events an hour and type, read as a stream until all files are taken in; the hour of the last event counts too."""
-    folder = f"{checkpoints(spark)}/stream-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
     counts = lines.windowed_counts(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "0 seconds", "event_type")
@@ -265,3 +264,17 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["stream_counts"] = stream_counts
 ORACLE_SQL["stream_counts"] = """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS "start", event_type, count(*) AS n FROM events GROUP BY ALL"""
+
+
+def stream_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON Lines written to a folder, filtered record by record as a stream, and read back."""
+    folder, schema = new_folder(spark, "stream"), "event_id long, event_type string, user_id long"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "user_id")
+    sinks.write_lines(sinks.to_jsonl(events), f"{folder}/in")
+    some = lines.stream_jsonl(spark, f"{folder}/in", schema).where("user_id % 2 = 0 AND bad_line IS NULL").select("event_id", "event_type")
+    lines.write_stream(some, sinks.to_jsonl, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return documents.read_jsonl(spark, f"{folder}/out", "event_id long, event_type string")
+
+
+QUERIES["stream_records"] = stream_records
+ORACLE_SQL["stream_records"] = "SELECT event_id, event_type FROM events WHERE user_id % 2 = 0"
