@@ -19,7 +19,7 @@ def lay(spark, folder, rows, items=(), labels=()):
 def test_stages_by_brute_force(spark, tmp_path):
     """Each stage on what the one before kept, row by row."""
     some = [tuple(r) for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang", "source").where("doc_id < 120").collect()]
-    rows = some + [(None, some[0][1], "en", "a"), (None, some[0][1], "en", "a"), (some[3][0], some[3][1], "en", None), (900, None, None, None), (901, "", "en", "a"), (902, "12 34", "en", "a")]
+    rows = some + [(None, *some[0][1:3], "a"), (None, *some[0][1:3], "a"), (some[3][0], some[3][1], "en", None), (900, None, None, None), (901, "", "en", "a"), (902, "12 34", "en", "a")]
     items = [(i, " ".join(words(t)[:20])) for i, t, *_ in some[:40] if 20 <= len(words(t)) <= 300] + [(2000, None)]
     folder = lay(spark, tmp_path, rows, items)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
