@@ -1,8 +1,11 @@
 """Token counts by section: whole documents are encoded once, and token spans are joined to section spans.
 
-Every document goes to the library whole, which gives the characters where each token begins and ends. Sections are
-spans of characters, in ascending order, that do not overlap. Both lists are sorted, so the interval join of a
-document's tokens to its sections is a merge by binary search within the document; nothing is shuffled.
+The ids of a document are those that the library gives for all of it. A byte-level vocabulary's tokens stand for fixed
+runs of bytes, so the ids give the characters where each token begins and ends, as the library's offsets do. Distinct
+pieces of text are encoded once a task, see tokens; with whole=True, or with a vocabulary of another pattern, every
+document goes to the library by itself, which gives the same and takes about three times as long. Sections are spans of
+characters, in ascending order, that do not overlap. Both lists are sorted, so the interval join of a document's tokens
+to its sections is a merge by binary search within the document; nothing is shuffled.
 
 The rule for tokens. A token goes, whole, to the section with which it shares the most characters, among equals to the
 earliest. A token that shares none, as one that lies between two sections, goes to the last section that begins before
@@ -15,7 +18,7 @@ into one text, and any column of array<struct<start:long,end:long>> can be given
 Defined cases. A null or empty text has one section, (0, 0), with no tokens. An empty or null list of sections counts
 as one section over the whole text. Unsorted sections are sorted; overlapping ones are an error. Empty sections are
 kept; a token can only go to them by the last part of the rule. Rows that share a doc_id, and equal rows, are each
-counted. A very long text is encoded whole, alone in its task, which takes about 200 bytes a token. An empty table gives
+counted. A very long text is worked on whole, in about 100 bytes of memory for each of its bytes. An empty table gives
 an empty result. Columns beyond those named are not looked at, whatever their names.
 """
 
@@ -81,7 +84,7 @@ def _checked(spans: list[dict] | None, n: int) -> np.ndarray:
     return out
 
 
-def attribute(docs: DataFrame, sections: str | None = None, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def attribute(docs: DataFrame, sections: str | None = None, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """A row for each section of each row of docs: doc_id, section (from 0), char_start, char_end, n_tokens, n_crossing.
 
     sections: a column of spans; without it, lines.
@@ -95,7 +98,7 @@ def attribute(docs: DataFrame, sections: str | None = None, path: str | None = N
         for batch in batches:
             for b in W.blocks(batch.column(1), W.NOT_SPACE):
                 given = batch.column(2).slice(b.rows[0], len(b)).to_pylist() if sections else None
-                yield _counted(batch.column(0).slice(b.rows[0], len(b)), b, encoder.spans(b), given)
+                yield _counted(batch.column(0).slice(b.rows[0], len(b)), b, encoder.spans(b, whole), given)
 
     return rows.mapInArrow(each, f"doc_id {kind}, section long, char_start long, char_end long, n_tokens long, n_crossing long")
 

@@ -75,6 +75,9 @@ class Encoder:
         names = self.library.get_vocab(with_added_tokens=False)
         self.spaced = np.zeros(max(names.values()) + 1, bool)
         self.spaced[[i for name, i in names.items() if name.startswith("\u0120")]] = True  # how the library writes a space
+        #: Bytes of each id's piece of text: names have one character a byte.
+        self.sizes = np.zeros(len(self.spaced), np.int64)
+        self.sizes[list(names.values())] = [len(name) for name in names]
         self.forget()
 
     def forget(self) -> None:
@@ -85,9 +88,27 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def spans(self, b: W.Block) -> Iterator[np.ndarray]:
-        """For each text of a block, encoded whole, the characters where its tokens begin and end, as the library
-        gives them."""
+    def spans(self, b: W.Block, whole: bool = False) -> Iterator[np.ndarray]:
+        """For each text of a block the characters where its tokens begin and end.
+
+        The vocabulary's tokens stand for fixed runs of bytes, so the ids tell their places. With whole, or where the
+        cuts don't hold, every text is encoded by itself, and the places are those that the library gives.
+        """
+        if whole or not self.cuts_hold:
+            yield from self._library_spans(b)
+            return
+        ids, counts = self.encode(b)
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        if (ends[-1] if len(ends) else 0) != len(b.data):
+            raise ValueError("the tokens' bytes do not add up to the text")
+        char = np.cumsum((b.data & 0xC0) != 0x80)  # characters up to and with each byte
+        till = np.cumsum(counts)
+        for i, j, at in zip((till - counts).tolist(), till.tolist(), b.offsets[:-1].tolist()):
+            base = int(char[at - 1]) if at else 0
+            yield np.column_stack([char[ends[i:j] - sizes[i:j]] - 1, char[ends[i:j] - 1]]) - base
+
+    def _library_spans(self, b: W.Block) -> Iterator[np.ndarray]:
         raw, held, size = b.data.tobytes(), [], 0
         for row, (i, j) in enumerate(zip(b.offsets[:-1].tolist(), b.offsets[1:].tolist())):
             held.append(raw[i:j].decode())

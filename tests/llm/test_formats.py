@@ -71,6 +71,12 @@ def test_attribution_by_brute_force(spark, library):
     assert sorted(tuple(r) for r in got.collect()) == [(i, *x) for i, t in rows for x in expected_attribution(library, t)]
 
 
+def test_attribution_with_the_librarys_offsets(spark):
+    """Documents that go to the library by themselves are counted alike."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts(), " ".join(texts())])], "doc_id long, text string").repartition(3)
+    assert bag(attribution.attribute(docs, whole=True).collect()) == bag(attribution.attribute(docs).collect())
+
+
 def test_attribution_awkward(spark):
     got = attribution.attribute(frame(spark))
     assert {(r["section"], r["char_start"], r["char_end"], r["n_tokens"]) for r in got.where("doc_id IN (4, 5)").collect()} == {(0, 0, 0, 0)}
