@@ -31,12 +31,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sluice.llm import words as W
-from sluice.llm.shared import new_folder, stored, table
+from sluice.llm.shared import handing_back, new_folder, stored, table
 from sluice.llm.tokens import Encoder, vocabulary
 
 MAGIC, BITS, RANK = b"DACIDS01", 8, 512
 END = 0
 FILE_IDS = 1 << 22
+#: Bytes of rows that a task is given at a time; a longer text ends its batch.
+BATCH = 1 << 18
 #: Files whose sums are added up together before the groups' sums are.
 GROUP = 1024
 
@@ -157,7 +159,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, file_ids: int =
         columns = list(zip(*done)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["name", "task", "number", "docs", "ids"])
 
-    files = stored(rows.mapInArrow(each, "name string, task long, number long, docs long, ids long"), "code-files")
+    files = stored(rows.mapInArrow(handing_back(each), "name string, task long, number long, docs long, ids long"), "code-files", BATCH)
     return _with_base(files, GROUP)
 
 
@@ -205,7 +207,7 @@ def _each_file(files: DataFrame, folder: str, schema: str, of) -> DataFrame:
                 with store.open_input_file(f"{root}/{name}") as f:
                     yield from of(Codes(f.read()), base)
 
-    return rows.mapInArrow(each, schema)
+    return rows.mapInArrow(handing_back(each), schema)
 
 
 def token_files(docs: DataFrame, folder: str | None = None) -> DataFrame:

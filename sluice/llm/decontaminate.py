@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import words as W
-from sluice.llm.shared import pieces, table
+from sluice.llm.shared import handing_back, pieces, table
 
 NGRAM = 13
 #: Most windows that are broadcast at a time, about 150 MB in each Python worker.
@@ -150,7 +150,7 @@ def _scan(docs: DataFrame, found, id_col: str, text_col: str, kind: str | None =
             out[3] = [[{"start": s, "length": n} for s, n in x] for x in out[3]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, types))], ["doc_id", "n_words", "n_hit", "item_ids", "spans"])
 
-    return rows.mapInArrow(each, _FOUND.format(id=kind or rows.schema["doc_id"].dataType.simpleString()))
+    return rows.mapInArrow(handing_back(each), _FOUND.format(id=kind or rows.schema["doc_id"].dataType.simpleString()))
 
 
 def contaminated(n_hit="n_hit", n_words="n_words"):
@@ -201,7 +201,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, whole: boo
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(each, schema)
+    return docs.mapInArrow(handing_back(each), schema)
 
 
 def _cut(text: bytes, b: W.Block, row: int, hit: np.ndarray) -> str:

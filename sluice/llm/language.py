@@ -33,7 +33,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sluice.llm import words as W
-from sluice.llm.shared import crc_fold, given, hash_below, pieces, table
+from sluice.llm.shared import crc_fold, given, handing_back, hash_below, pieces, table
 
 #: Where very many rows of a language share few ids, its sample may come short of SAMPLE_TEXTS.
 SAMPLE_TEXTS, DICT_BYTES, TEXT_PART = 400, 1 << 18, 16
@@ -61,7 +61,7 @@ def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, dict_bytes: int = D
         return {}
 
     def below(bounds: dict[str, int]) -> DataFrame:
-        of = spark.createDataFrame(sorted(bounds.items()), "lang string, bound long")  # a row a language
+        of = spark.createDataFrame(pa.table({"lang": sorted(bounds), "bound": pa.array([bounds[k] for k in sorted(bounds)], pa.int64())}))  # a row a language; no worker turns it into rows
         return rows.join(F.broadcast(of), "lang").where("key <= bound")
 
     near = below({lang: hash_below(n, sample_texts) for lang, n in counts.items()})
@@ -168,7 +168,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_MA
             new = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names)
 
-    return rows.mapInArrow(each, f"{kinds}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(handing_back(each), f"{kinds}, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_MARGIN, text_col: str = "text") -> DataFrame:
@@ -181,7 +181,7 @@ def keep_identified(docs: DataFrame, model: dict[str, bytes], min_margin: float
         for batch in batches:
             yield batch.filter(pa.array([not rejected for _, _, rejected in own.column(batch.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(handing_back(each), docs.schema)
 
 
 FOLDS, HELD_OUT = 4, 2

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import words as W
-from sluice.llm.shared import beside_groups, drop_folder, stored, table
+from sluice.llm.shared import beside_groups, drop_folder, handing_back, stored, table
 
 SHINGLE, BANDS, ROWS = 5, 20, 4
 COORDS = BANDS * ROWS
@@ -148,7 +148,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 ids = batch.column(0).slice(b.rows[0], len(b))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(s1.astype(np.int64)), pa.array(s2.astype(np.int64)), pa.array(sig_out, pa.binary()), pa.array(band_out, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set1", "set2", "sig", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(each, _SKETCH)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(handing_back(each), _SKETCH)
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
                 at = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(3).take(at), batch.column(4).take(at), pa.array(out, pa.binary())], ["doc_id", "sig", "more", "shingles"])
 
-    return joined.mapInArrow(each, schema)
+    return joined.mapInArrow(handing_back(each), schema)
 
 
 def spanning_links(ids: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, ratio: tuple[int, int] = RATIO) -> list[tuple[int, int]]:
@@ -266,7 +266,7 @@ def links(groups: DataFrame, ratio: tuple[int, int] = RATIO) -> DataFrame:
         _close(at, group, a, b, ratio)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return groups.repartition(*key).sortWithinPartitions(*key).mapInArrow(each, "a long, b long")
+    return groups.repartition(*key).sortWithinPartitions(*key).mapInArrow(handing_back(each), "a long, b long")
 
 
 def _close(at: list | None, group: tuple, a: list, b: list, ratio: tuple[int, int]) -> None:
@@ -326,7 +326,7 @@ def rare_shingles(sets: DataFrame, ratio: tuple[int, int]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), doc)), pa.array(np.full(len(g), component)), pa.array(np.full(len(g), len(g))), pa.array(g)], ["doc_id", "component_id", "n", "shingle"])
 
     num, den = ratio
-    rows = sets.select("doc_id", F.col("more").alias("component_id"), "shingles").mapInArrow(each, "doc_id long, component_id long, n long, shingle long")
+    rows = sets.select("doc_id", F.col("more").alias("component_id"), "shingles").mapInArrow(handing_back(each), "doc_id long, component_id long, n long, shingle long")
     held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("df > 1")
     shared = rows.join(held, "shingle").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle", (F.col("lo") != F.col("hi")).alias("open")))).alias("held"))
     # Shingles of one class come first; what is left of the prefix is filled with the rarest of the others.

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,25 +46,51 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def _set(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of the session, for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, label: str, batch_bytes: int | None = None) -> DataFrame:
     """df, written once as a table in the shared folder and read back.
 
     This cuts the lineage, so a lost executor costs a re-read instead of a recomputation, and the shuffle files
-    that led to it are released as soon as the table is written.
+    that led to it are released as soon as the table is written. batch_bytes: about how much of the rows is given to
+    Python at a time; by default as many rows as the session says, however long they are.
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
-    before = spark.conf.get(_CLEAN)
-    spark.conf.set(_CLEAN, "true")
-    try:
+    with _set(spark, **{_CLEAN: "true"} | ({_BATCH: str(batch_bytes)} if batch_bytes else {})):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+def handing_back(each: Callable) -> Callable:
+    """A function of batches which, when a task is through, gives the memory that is free again back to the system.
+
+    The worker lives on for other stages' tasks; what it keeps for itself adds to what their own data takes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from each(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
+        if trim:
+            trim(0)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

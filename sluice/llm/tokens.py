@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -59,25 +60,36 @@ _ASCII_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _ASCII_MARK[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
+@lru_cache(maxsize=1)
+def loaded(path: str) -> tuple:
+    """The library's tokenizer, whether the cuts hold for it, and of each id whether it begins with a space and how many
+    bytes of text it stands for.
+
+    It is loaded once a worker, not once a task: what the library keeps of the texts that a tokenizer has encoded,
+    about 5 MB, it does not free with that tokenizer, so a worker would grow with every task it runs.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True  # their names in a text are ordinary text
+    # The parts' own settings: the whole tokenizer as JSON has the vocabulary and all merges in it.
+    split = json.loads(library.pre_tokenizer.__getstate__()) if library.pre_tokenizer else {}
+    cuts_hold = library.normalizer is None and type(library.model).__name__ == "BPE" and all(split.get(k) == v for k, v in CUTS_HOLD.items())
+    names = library.get_vocab(with_added_tokens=False)
+    spaced = np.zeros(max(names.values()) + 1, bool)
+    spaced[[i for name, i in names.items() if name.startswith("\u0120")]] = True  # how the library writes a space
+    sizes = np.zeros(len(spaced), np.int64)
+    sizes[list(names.values())] = [len(name) for name in names]  # names have one character a byte
+    return library, cuts_hold, spaced, sizes
+
+
 class Encoder:
     """Encodes blocks of texts; one for each task."""
 
     def __init__(self, path: str, keep: int = KEEP):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their names in a text are ordinary text
+        self.library, self.cuts_hold, self.spaced, self.sizes = loaded(path)
         self.keep = keep
-        how = json.loads(self.library.to_str())
-        split = how["pre_tokenizer"] or {}
-        self.cuts_hold = how["normalizer"] is None and how["model"]["type"] == "BPE" and all(split.get(k) == v for k, v in CUTS_HOLD.items())
-        names = self.library.get_vocab(with_added_tokens=False)
-        self.spaced = np.zeros(max(names.values()) + 1, bool)
-        self.spaced[[i for name, i in names.items() if name.startswith("\u0120")]] = True  # how the library writes a space
-        #: Bytes of each id's piece of text: names have one character a byte.
-        self.sizes = np.zeros(len(self.spaced), np.int64)
-        self.sizes[list(names.values())] = [len(name) for name in names]
         self.forget()
 
     def forget(self) -> None:
