@@ -166,3 +166,13 @@ def test_every_part_and_toml(spark, one):
     assert one(strings.cut("s", -2, None), s=("string", "é🙂x")) == "🙂x" and one(strings.cut("s", 2, 1), s=("string", "abc")) == ""
     assert one(arrays.cut("a", 0.5, 1.5), a=("array<int>", [1, 2, 3])) == [1, 2] and one(arrays.cut("a", F.lit(-1)), a=("array<int>", [1, 2, 3])) == [3]
     assert one(strings.capture_all("s", "(?<x>a)|(?<y>b)"), s=("string", "ab")) == [{"x": "a", "y": None}, {"x": None, "y": "b"}]
+
+
+def test_equal_documents_of_a_batch_are_worked_on_once(spark):
+    seen = []
+    assert paths.each_once(["a", None, "b", "a", None, "a"], lambda t: seen.append(t) or t + "!") == ["a!", None, "b!", "a!", None, "a!"]
+    assert seen == ["a", "b"]
+    rows = spark.range(0, 2000, 1, 1).selectExpr("id", "if(id % 7 = 0, null, array('{\"k\":{\"a\":' || id % 3 || '}}', null, '{\"k\":{\"b\":1.50}}')) docs")
+    for r in rows.select("id", documents.merge_all("docs").alias("deep"), documents.merge_all("docs", deep=False).alias("shallow")).collect():
+        assert r["deep"] == (None if r["id"] % 7 == 0 else f'{{"k":{{"a":{r["id"] % 3},"b":1.50}}}}')
+        assert r["shallow"] == (None if r["id"] % 7 == 0 else '{"k":{"b":1.50}}')
